@@ -54,8 +54,9 @@ def style_phrase(x) -> Column:
     return F.coalesce(F.array_join(phrases, " "), F.lit(""))
 
 
-def _non_empty(x: Column) -> Column:
-    return F.nullif(x, F.lit(""))
+def _joined(*parts: Column) -> Column:
+    """Non-empty parts joined by blanks (each part is evaluated once)."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), " ")
 
 
 def review_snippet(
@@ -69,18 +70,14 @@ def review_snippet(
     max_body_len: int = 400,
 ) -> Column:
     """One line of text per review: metadata phrases, summary, body. Empty when nothing is usable."""
-    meta = F.concat_ws(
-        " ",
-        _non_empty(rating_phrase(rating)),
-        _non_empty(verified_phrase(verified)),
-        _non_empty(style_phrase(style)),
+    meta = _joined(rating_phrase(rating), verified_phrase(verified), style_phrase(style))
+    return F.trim(
+        _joined(
+            clean_text(meta, max_meta_len),
+            clean_text(summary, max_summary_len),
+            clean_text(body, max_body_len),
+        )
     )
-    parts = [
-        _non_empty(clean_text(meta, max_meta_len)),
-        _non_empty(clean_text(summary, max_summary_len)),
-        _non_empty(clean_text(body, max_body_len)),
-    ]
-    return F.trim(F.concat_ws(" ", *parts))
 
 
 def word_tokens(x, stop_words: Column | None = None) -> Column:

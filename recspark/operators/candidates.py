@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..skew import ranked_in_group
@@ -13,7 +14,7 @@ POSITION_BLOCK = 100_000
 
 
 def co_rated_candidates(
-    users: DataFrame, hist: DataFrame, order: DataFrame, max_candidates: int, n_items: int,
+    users: DataFrame, hist: DataFrame, order: DataFrame, max_candidates: int,
     limit: int = MAX_LIGHT_HISTORY,
 ) -> DataFrame:
     """Distinct (user_id, item_id, pos): items reached from a user's history through any rater.
@@ -29,23 +30,26 @@ def co_rated_candidates(
     mine = hist.join(users.select("user_id"), "user_id", "left_semi")
     pos = order.select("item_id", "pos")
     pairs = light_pairs(h.light)
-    edges = pairs.select(F.col("item_a").alias("anchor"), F.col("item_b").alias("item_id")).unionAll(
-        pairs.select(F.col("item_b").alias("anchor"), F.col("item_a").alias("item_id"))
-    ).join(pos, "item_id")
+    both = F.array(
+        F.struct(F.col("item_a").alias("anchor"), F.col("item_b").alias("item_id")),
+        F.struct(F.col("item_b").alias("anchor"), F.col("item_a").alias("item_id")),
+    )
+    edges = pairs.select(F.inline(both)).join(pos, "item_id")
+    short = top_k(edges, "anchor", [F.col("pos")], max_candidates + limit, "place")
 
-    def reach(part: DataFrame, lists: DataFrame) -> DataFrame:
-        return part.withColumnRenamed("item_id", "anchor").join(lists, "anchor").select(
-            "user_id", "item_id", "pos"
-        )
+    def along(part: DataFrame, lists: DataFrame, cut: bool) -> DataFrame:
+        steps = part.join(sizes, "user_id").withColumnRenamed("item_id", "anchor")
+        reached = steps.join(lists, "anchor")
+        if cut:
+            reached = reached.filter(F.col("place") <= max_candidates + F.col("n_train"))
+        return reached.select("user_id", "item_id", "pos")
 
-    cut = max_candidates + limit
-    short = edges if n_items <= cut else top_k(edges, "anchor", [F.col("pos")], cut, "_r").drop("_r")
     if h.heavy is None:
-        return reach(mine, short).distinct()
+        return along(mine, short, True).distinct()
 
     heavy_users = h.heavy.select("user_id").distinct()
-    found = reach(mine.join(heavy_users, "user_id", "left_anti"), short).unionByName(
-        reach(mine.join(heavy_users, "user_id", "left_semi"), edges)
+    found = along(mine.join(heavy_users, "user_id", "left_anti"), short, True).unionByName(
+        along(mine.join(heavy_users, "user_id", "left_semi"), edges, False)
     )
     owner = h.heavy.select(F.col("user_id").alias("owner"), "item_id")
     met = mine.join(owner, "item_id").select("user_id", "owner").distinct().join(sizes, "user_id")
@@ -80,9 +84,12 @@ def candidate_items(
     n_items = order.count()
     taken = union_exclusions(hist, exclude)
     found = without(
-        co_rated_candidates(users, hist, order, max_candidates, n_items, limit), taken
+        co_rated_candidates(users, hist, order, max_candidates, limit), taken
+    )
+    # Read three times below; at most max_candidates rows per user.
+    kept = top_k(found, "user_id", [F.col("pos")], max_candidates, "cand_rank").persist(
+        StorageLevel.MEMORY_AND_DISK
     )
-    kept = top_k(found, "user_id", [F.col("pos")], max_candidates, "cand_rank")
     counts = kept.groupBy("user_id").agg(F.max("cand_rank").alias("_found"))
     need = (
         users.select("user_id")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scores import clip_unit, cosine
 from ..functions.text import review_snippet, with_bigrams, word_tokens
+from ..skew import durable
 from .stats import with_scalars
 from .topk import top_k
 
@@ -19,10 +20,13 @@ SIM_DIGITS = 9
 
 
 def snippets(reviews: DataFrame, max_body_len: int = 400) -> DataFrame:
-    """Reviews with a non-empty ``snippet``."""
-    return reviews.withColumn("snippet", review_snippet(max_body_len=max_body_len)).filter(
-        F.col("snippet") != ""
-    )
+    """Reviews with a non-empty ``snippet``.
+
+    The empty ones are dropped by a generator: a filter would be pushed below the projection and
+    build every snippet a second time.
+    """
+    text = F.array(review_snippet(max_body_len=max_body_len))
+    return reviews.withColumn("snippet", F.explode(F.filter(text, lambda t: t != "")))
 
 
 def merged_text(snips: DataFrame, key: str, order: str, max_parts: int) -> DataFrame:
@@ -87,8 +91,8 @@ def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("w")
     )
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 @dataclass
@@ -114,16 +118,18 @@ class TextProfiles:
         """``stop_words`` defaults to Spark's English list."""
         if stop_words is None:
             stop_words = StopWordsRemover.loadDefaultStopWords("english")
-        items = item_documents(reviews, order, max_parts_per_item)
-        if len(items.limit(MIN_DOCUMENTS).take(MIN_DOCUMENTS)) < MIN_DOCUMENTS:
+        items = durable(item_documents(reviews, order, max_parts_per_item))
+        if len(items.take(MIN_DOCUMENTS)) < MIN_DOCUMENTS:
             raise ValueError(f"a text index needs at least {MIN_DOCUMENTS} items with text")
         users = user_documents(reviews, order, max_reviews_per_user)
         item_counts = term_counts(items, "item_id", stop_words, bigrams)
         user_counts = term_counts(users, "user_id", stop_words, bigrams)
         n_docs = items.agg(F.count(F.lit(1)).alias("n_docs"))
-        vocab = vocabulary(item_counts, n_docs, min_df, max_features)
+        vocab = durable(vocabulary(item_counts, n_docs, min_df, max_features))
         return cls(
-            tfidf(item_counts, vocab, "item_id"), tfidf(user_counts, vocab, "user_id"), vocab
+            durable(tfidf(item_counts, vocab, "item_id")),
+            durable(tfidf(user_counts, vocab, "user_id")),
+            vocab,
         )
 
     def score(self, pool: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ through :func:`ranked_in_group`, and anything that numbers a whole table goes th
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -18,26 +19,28 @@ MAX_GROUP_ROWS = 1_000_000
 MAX_SINGLE_TASK_ROWS = 1_000_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the session's own, or a temporary one on a local master only."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the session's own, or a temporary one on a local master only."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recspark-ckpt-"))
-    else:
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="recspark-"))
     return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise on reliable storage and cut the lineage, so a lost executor costs one read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the checkpoint folder and read back.
+
+    Cuts the lineage, so a lost executor costs one read, computes the rows once, and gives later
+    joins real table sizes. (``checkpoint()`` would compute the last stage twice.)
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/recspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def oversized_keys(df: DataFrame, key: str | list[str], limit: int) -> DataFrame:
