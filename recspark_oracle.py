@@ -462,12 +462,20 @@ bu AS (SELECT u, item, row_number() OVER (PARTITION BY u ORDER BY d) - 1 AS k,
 bi AS (SELECT u, item, row_number() OVER (PARTITION BY item ORDER BY d) - 1 AS k,
               count(*) OVER (PARTITION BY item) AS n FROM h),
 p AS (SELECT user_id, item, t AS trial FROM npos, range(1, 7) r(t)),
-s1 AS (SELECT p.*, b.item AS j FROM p JOIN (SELECT u, n FROM bu WHERE k = 0) z ON z.u = p.user_id
-       JOIN bu b ON b.u = p.user_id AND b.k = {_draw('z.n', '42', '0', "'own'", *_KEY)}),
-s2 AS (SELECT p.*, b.u AS v FROM s1 p JOIN (SELECT item, n FROM bi WHERE k = 0) z ON z.item = p.j
-       JOIN bi b ON b.item = p.j AND b.k = {_draw('z.n', '42', '0', "'rater'", *_KEY)}),
-s3 AS (SELECT p.*, b.item AS neg FROM s2 p JOIN (SELECT u, n FROM bu WHERE k = 0) z ON z.u = p.v
-       JOIN bu b ON b.u = p.v AND b.k = {_draw('z.n', '42', '0', "'item'", *_KEY)}),
+zu AS (SELECT u, n FROM bu WHERE k = 0),
+zi AS (SELECT item, n FROM bi WHERE k = 0),
+k1 AS MATERIALIZED (SELECT p.*, {_draw('z.n', '42', '0', "'own'", *_KEY)} AS k
+                    FROM p JOIN zu z ON z.u = p.user_id),
+s1 AS MATERIALIZED (SELECT p.user_id, p.item, p.trial, b.item AS j
+                    FROM k1 p JOIN bu b ON b.u = p.user_id AND b.k = p.k),
+k2 AS MATERIALIZED (SELECT p.*, {_draw('z.n', '42', '0', "'rater'", *_KEY)} AS k
+                    FROM s1 p JOIN zi z ON z.item = p.j),
+s2 AS MATERIALIZED (SELECT p.user_id, p.item, p.trial, p.j, b.u AS v
+                    FROM k2 p JOIN bi b ON b.item = p.j AND b.k = p.k),
+k3 AS MATERIALIZED (SELECT p.*, {_draw('z.n', '42', '0', "'item'", *_KEY)} AS k
+                    FROM s2 p JOIN zu z ON z.u = p.v),
+s3 AS MATERIALIZED (SELECT p.user_id, p.item, p.trial, p.j, b.item AS neg
+                    FROM k3 p JOIN bu b ON b.u = p.v AND b.k = p.k),
 neg AS (
   SELECT user_id, item, arg_min(neg, trial) AS neg, min(trial) AS trial FROM s3 x
   WHERE neg <> j
