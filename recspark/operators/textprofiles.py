@@ -182,5 +182,5 @@ class DenseProfiles:
         return joined.select(
             "user_id",
             "item_id",
-            F.round(F.coalesce(cosine("_u", "_i"), F.lit(0.0)), SIM_DIGITS).alias("text_sim"),
+            F.coalesce(cosine("_u", "_i"), F.lit(0.0)).alias("text_sim"),
         )

@@ -71,7 +71,7 @@ def ranked_in_group(
     big = oversized_keys(df, key, limit)
     if not big.take(1):
         w = W.partitionBy(key)
-        out = df.withColumn(rank_col, F.row_number().over(w.orderBy(*order)))
+        out = df.withColumn(rank_col, F.row_number().over(w.orderBy(*order)).cast("long"))
         return out.withColumn(count_col, F.count(F.lit(1)).over(w)) if count_col else out
 
     tagged = (
@@ -93,13 +93,13 @@ def ranked_in_group(
     part = W.partitionBy(key, "_bucket")
     out = (
         tagged.withColumn("_local", F.row_number().over(part.orderBy(*order)))
-        .withColumn("_n", F.coalesce("group_rows", F.count(F.lit(1)).over(part)))
+        .withColumn("_size", F.coalesce("group_rows", F.count(F.lit(1)).over(part)))
         .join(offsets, [key, "_bucket"], "left")
-        .withColumn(rank_col, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("int"))
+        .withColumn(rank_col, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long"))
     )
     if count_col:
-        out = out.withColumn(count_col, F.col("_n"))
-    return out.drop("group_rows", "_bucket", "_local", "_n", "_offset")
+        out = out.withColumn(count_col, F.col("_size"))
+    return out.drop("group_rows", "_bucket", "_local", "_size", "_offset")
 
 
 def global_position(
@@ -137,3 +137,13 @@ def global_position(
         .withColumn(name, (F.col("_local") + F.col("_offset") + F.lit(start - 1)).cast("long"))
         .drop("_part", "_local", "_offset")
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a scan yields fewer partitions than there are cores.
+
+    Meant ahead of per-row work that costs more than moving the row, such as text cleaning. Large
+    inputs have more partitions than cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..skew import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,7 +40,9 @@ def interactions(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reviews: ten documents per item, 47 reviewers, first line as the summary."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(
+        table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    )
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(quality, "doc_id", "left").select(
         (F.col("doc_id") % 47).alias("user_id"),
