@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.rerank import history_alpha, late_fusion
 from ..operators.stats import history, history_sizes
+from ..skew import durable
 from . import Ranker, TextSimilarity
 from .popularity import Popularity
 
@@ -33,7 +34,8 @@ class ContentHybrid:
         users = users.select("user_id").distinct()
         sizes = history_sizes(history(self.train))
         known = users.join(sizes, "user_id", "left_semi")
-        pool = self.base.rank(known, max(self.pool_size, n), exclude)
+        # Read by the fusion, the text scores and the fallback; pool_size rows per user.
+        pool = durable(self.base.rank(known, max(self.pool_size, n), exclude))
         weights = history_alpha(
             pool.select("user_id").distinct(), sizes, self.alpha, self.cold_alpha,
             self.cold_threshold,

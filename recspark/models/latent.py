@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.split import id_index
 from ..operators.topk import rank_by_score, union_exclusions
+from ..skew import durable
 from .scoring import USER_BLOCK, top_items
 
 
@@ -35,7 +36,7 @@ def fit_als(train: DataFrame, value: str, rank: int, reg: float, iterations: int
     i = model.itemFactors.join(
         items.select(F.col("item_idx").alias("id"), "item_id"), "id"
     ).select("item_id", "features")
-    return u, i
+    return durable(u), durable(i)
 
 
 def rank_by_dot(

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from ..skew import ranked_in_group
+from ..skew import durable, ranked_in_group
 from .pairs import MAX_LIGHT_HISTORY, light_pairs, split_history
 from .stats import history, history_sizes, item_stats, popularity_order
 from .topk import first_free_positions, top_k, union_exclusions, without
@@ -80,16 +79,14 @@ def candidate_items(
     """
     hist = history(train)
     stats = item_stats(train).filter(F.col("n_ratings") >= min_item_ratings)
-    order = popularity_order(stats).persist()
+    order = durable(popularity_order(stats))
     n_items = order.count()
     taken = union_exclusions(hist, exclude)
     found = without(
         co_rated_candidates(users, hist, order, max_candidates, limit), taken
     )
     # Read three times below; at most max_candidates rows per user.
-    kept = top_k(found, "user_id", [F.col("pos")], max_candidates, "cand_rank").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    kept = durable(top_k(found, "user_id", [F.col("pos")], max_candidates, "cand_rank"))
     counts = kept.groupBy("user_id").agg(F.max("cand_rank").alias("_found"))
     need = (
         users.select("user_id")

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..skew import oversized_keys
 
-MAX_LIGHT_HISTORY = 1000
+# Lists cut at this number plus a few stay below 1000, up to which the planner cuts them before the
+# shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+MAX_LIGHT_HISTORY = 950
 
 
 @dataclass
