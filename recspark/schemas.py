@@ -28,9 +28,3 @@ ITEM_METADATA = T.StructType(
         T.StructField("brand", T.StringType()),
     ]
 )
-
-SUPPORT = "struct<item_id:{item},user_overlap:bigint,similarity:double,avg_rating:double>"
-
-# Tables exchanged between operators
-INTERACTION_COLUMNS = ["user_id", "item_id", "rating"]
-RANKING_COLUMNS = ["user_id", "item_id", "rank", "score", "score_source"]
