@@ -8,6 +8,8 @@ as a production run would store them after preprocessing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -647,9 +649,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_topn_eval(spark, "/root/testdata/sf0.001")
 
 
+def _corpus_queries() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators and their pipeline, where they are installed."""
+    found, sql = {}, {}
+    if find_spec("recspark.llm"):
+        operators = import_module("recspark.llm.queries")
+        found |= operators.QUERIES
+        sql |= import_module("recspark.llm.oracle").ORACLE_SQL
+        if find_spec("corpus_pipeline"):
+            pipeline = import_module("corpus_pipeline")
+            found["pipeline"] = pipeline.run
+            if pipeline.ORACLE_SQL:
+                sql["pipeline"] = pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
+    own = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
+    return own | _corpus_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | _corpus_queries()[1]
