@@ -57,10 +57,10 @@ LEFT JOIN edges e ON r.source IS NOT DISTINCT FROM e.source
 
 OP10 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v
+  SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
@@ -80,7 +80,7 @@ shingles AS (
   SELECT DISTINCT doc_id, unnest(
     CASE WHEN coalesce(len(w), 0) = 0 THEN []
          WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s
+         ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s
   FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 pairs AS (
@@ -89,11 +89,11 @@ pairs AS (
 links AS (
   SELECT a, b FROM pairs JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b
   WHERE 100 * c >= 80 * (m.n + n.n - c)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
-  SELECT a AS doc_id, a AS seen FROM both
+  SELECT a AS doc_id, a AS seen FROM ways
   UNION
-  SELECT r.doc_id, l.b FROM reach r JOIN both l ON r.seen = l.a)
+  SELECT r.doc_id, l.b FROM reach r JOIN ways l ON r.seen = l.a)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles,
        coalesce(r.component_id, d.doc_id) AS component_id
 FROM documents d
