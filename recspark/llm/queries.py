@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, huffman, mixing, near_dedup, packing, quality, sharding, topk_search, \
-    toxicity
+from . import exact_dedup, huffman, licenses, mixing, near_dedup, packing, quality, sharding, \
+    topk_search, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.document_licenses(spark, d)
+
+
 def op3_huffman(spark: SparkSession, d: str) -> DataFrame:
     return _digest(huffman.roundtrip(table(spark, d, "documents")))
 
@@ -55,5 +59,5 @@ def op10_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op3_huffman, op4_ngram_jaccard, op5_packing, op6_quality, op7_sharding,
+    op1_toxicity, op2_licenses, op3_huffman, op4_ngram_jaccard, op5_packing, op6_quality, op7_sharding,
     op8_exact_dedup, op9_mixing, op10_topk)}
