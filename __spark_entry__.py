@@ -7,6 +7,7 @@ as a production run would store them after preprocessing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from importlib import import_module
 from importlib.util import find_spec
@@ -163,7 +164,7 @@ def q_jsonl_audit(spark, d):
         )
     )
     text = F.when(F.col("row_key") % 13 == 0, F.lit("{broken")).otherwise(line)
-    path = f"{checkpoint_dir(spark)}/audit-{abs(hash(d))}"
+    path = f"{checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
     rv.select(text.alias("value")).write.mode("overwrite").text(path)
     audit = review_files.audit_jsonl(spark, path)
     loaded = review_files.load_reviews(spark, path).agg(
@@ -173,13 +174,12 @@ def q_jsonl_audit(spark, d):
 
 
 def q_eligible_users(spark, d):
-    return split.eligible_users(_train(spark, d), _test(spark, d), 20, 5, 1000)
+    return split.eligible_users(_train(spark, d), _test(spark, d), 20, 5)
 
 
 def q_small_dataset_sizes(spark, d):
     tr, te = split.small_dataset(
-        _train(spark, d), _test(spark, d), min_train_ratings=20, min_test_ratings=5,
-        max_users=1000)
+        _train(spark, d), _test(spark, d), min_train_ratings=20, min_test_ratings=5)
     return split.dataset_sizes(tr, te)
 
 
@@ -306,9 +306,40 @@ def q_candidate_items(spark, d):
     )
 
 
+def _excluded(spark, d):
+    """Pairs left out of rankings on top of what was seen, some among the most popular items."""
+    best = stats.popularity_order(stats.item_stats(_train(spark, d))).filter(F.col("pos") <= 40)
+    return _users(spark, d).join(
+        F.broadcast(best.select("item_id")),  # 40 rows
+        (F.col("user_id") + F.col("item_id")) % 3 == 0)
+
+
+def q_candidate_items_excluding(spark, d):
+    found = candidates.candidate_items(
+        _users(spark, d), _train(spark, d), 50, 20, _excluded(spark, d))
+    return found.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_candidates"),
+        F.count_if(F.col("source") == "popular").alias("n_popular"),
+        F.sum(F.col("item_id") * F.col("cand_rank")).alias("checksum"),
+    )
+
+
+def q_popularity_top_n_excluding(spark, d):
+    lists = _popularity(spark, d).rank(_users(spark, d), TOP_N, _excluded(spark, d))
+    return lists.select("user_id", "item_id", "rank", "score")
+
+
+def q_item_cf_top_n_excluding(spark, d):
+    lists = _item_cf(spark, d).rank(_users(spark, d), TOP_N, _excluded(spark, d))
+    return _r(lists, "score", digits=6).select("user_id", "item_id", "rank", "score")
+
+
 def q_candidate_hit_rate(spark, d):
+    """Of all candidates: how many relevant test items are rated often enough and were not seen."""
+    every = candidates.candidate_items(
+        _users(spark, d), _train(spark, d), _item_index(spark, d).count(), 20)
     return _rounded(topn.candidate_hit_rate(
-        _candidates(spark, d), _train(spark, d), _test(spark, d), 5, THRESHOLD, None))
+        every, _train(spark, d), _test(spark, d), 5, THRESHOLD, None))
 
 
 def q_item_cf_similarity(spark, d):
@@ -512,7 +543,8 @@ def q_late_fusion_eval(spark, d):
     tr, te = split.train_part(s), split.test_part(s)
     pool = Popularity.fit(tr).rank(tr.select("user_id").distinct(), POOL)
     out = late_fusion.evaluate_late_fusion(
-        durable(pool), _text(spark, d), tr, te, 0.7, TOP_N, POOL, 5, THRESHOLD, None)
+        durable(pool), _text(spark, d), tr, te, 0.7, top_n=TOP_N, pool_size=POOL,
+        relevance_threshold=THRESHOLD)
     return _rounded(out.withColumnRenamed("F-measure", "F_measure"), 6)
 
 
@@ -554,7 +586,7 @@ def q_sample_negatives_uniform(spark, d):
 def q_sample_negatives_co_rated(spark, d):
     return negatives.sample_negatives(
         _positives(spark, d), _item_index(spark, d), "cooccurrence",
-        hist=stats.history(_train(spark, d)), tries=TRIES, uniform_tries=0)
+        hist=stats.history(_train(spark, d)))
 
 
 def q_pairwise_loss(spark, d):
@@ -582,7 +614,7 @@ def q_results_table(spark, d):
             rating.evaluate_rating_prediction(_item_cf(spark, d), _test(spark, d)),
             "run", "Item CF", "rating"),
     ]
-    path = f"{checkpoint_dir(spark)}/metrics-{abs(hash(d))}"
+    path = f"{checkpoint_dir(spark)}/metrics-{uuid.uuid4().hex}"
     rows[0].limit(0).write.mode("overwrite").parquet(path)
     tracking.log_metrics(rows, path)
     table = tracking.results_table(

@@ -71,17 +71,19 @@ class MatrixFactorization:
         )
 
     def rank(self, users: DataFrame, n: int, exclude: DataFrame | None = None,
-             max_candidates: int = 10000, min_item_ratings: int = 0) -> DataFrame:
-        """Candidates by inner product over log2(2 + rating count); the score is the plain product."""
+             max_candidates: int | None = None, min_item_ratings: int = 0) -> DataFrame:
+        """Candidates by inner product over log2(2 + rating count); the score is the plain product.
+
+        Candidates are all unseen items, or ``max_candidates`` per user if that is given.
+        """
         counts = item_stats(self.train).select("item_id", "n_ratings")
         damp = damped(F.lit(1.0), F.col("n_ratings"))
         eligible = counts.filter(F.col("n_ratings") >= min_item_ratings)
         scaled = self.item_factors.join(eligible, "item_id").select(
             "item_id", F.transform("features", lambda x: x * damp).alias("features")
         )
-        # A catalogue that fits the cap is its own candidate list.
         pool, block = None, 1024
-        if eligible.count() > max_candidates:
+        if max_candidates is not None:
             pool = self.candidates(users, max_candidates, min_item_ratings, exclude)
             block = CANDIDATE_USER_BLOCK
         ranked = rank_by_dot(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..skew import durable, ranked_in_group
 from .pairs import MAX_LIGHT_HISTORY, light_pairs, split_history
-from .stats import history, history_sizes, item_stats, popularity_order
+from .stats import history, item_stats, popularity_order
 from .topk import first_free_positions, top_k, union_exclusions, without
 
 POSITION_BLOCK = 100_000
@@ -14,18 +14,19 @@ POSITION_BLOCK = 100_000
 
 def co_rated_candidates(
     users: DataFrame, hist: DataFrame, order: DataFrame, max_candidates: int,
-    limit: int = MAX_LIGHT_HISTORY,
+    limit: int = MAX_LIGHT_HISTORY, taken: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct (user_id, item_id, pos): items reached from a user's history through any rater.
 
-    Only the ``max_candidates`` most popular unseen items of a user are wanted in the end, and a
-    user has seen n of them at most, so of every list reached only the first
-    ``max_candidates + n`` by popularity can matter. Lists of light raters come from their item
+    Only the ``max_candidates`` most popular items that a user has not ``taken`` (history and
+    exclusions; default: history) are wanted in the end. With n taken ones, of every list reached
+    only the first ``max_candidates + n`` by popularity can matter. Lists of light raters come from their item
     pairs; a heavy rater is reached as a whole (user -> heavy rater -> its items) and its items are
     never paired.
     """
     h = split_history(hist, limit)
-    sizes = history_sizes(hist)
+    taken = hist if taken is None else taken
+    sizes = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_taken"))
     mine = hist.join(users.select("user_id"), "user_id", "left_semi")
     pos = order.select("item_id", "pos")
     pairs = light_pairs(h.light)
@@ -34,13 +35,17 @@ def co_rated_candidates(
         F.struct(F.col("item_b").alias("anchor"), F.col("item_a").alias("item_id")),
     )
     edges = pairs.select(F.inline(both)).join(pos, "item_id")
-    short = top_k(edges, "anchor", [F.col("pos")], max_candidates + limit, "place")
+    asked = sizes.join(mine.select("user_id").distinct(), "user_id", "left_semi")
+    if h.heavy is not None:
+        asked = asked.join(h.heavy.select("user_id").distinct(), "user_id", "left_anti")
+    most = asked.agg(F.max("n_taken").alias("n")).first()["n"] or 0
+    short = top_k(edges, "anchor", [F.col("pos")], max_candidates + most, "place")
 
     def along(part: DataFrame, lists: DataFrame, cut: bool) -> DataFrame:
         steps = part.join(sizes, "user_id").withColumnRenamed("item_id", "anchor")
         reached = steps.join(lists, "anchor")
         if cut:
-            reached = reached.filter(F.col("place") <= max_candidates + F.col("n_train"))
+            reached = reached.filter(F.col("place") <= max_candidates + F.col("n_taken"))
         return reached.select("user_id", "item_id", "pos")
 
     if h.heavy is None:
@@ -60,7 +65,7 @@ def co_rated_candidates(
         rank_col="place",
     )
     through = met.join(owned, "owner").filter(
-        F.col("place") <= max_candidates + F.col("n_train")
+        F.col("place") <= max_candidates + F.col("n_taken")
     )
     return found.unionByName(through.select("user_id", "item_id", "pos")).distinct()
 
@@ -83,7 +88,7 @@ def candidate_items(
     n_items = order.count()
     taken = union_exclusions(hist, exclude)
     found = without(
-        co_rated_candidates(users, hist, order, max_candidates, limit), taken
+        co_rated_candidates(users, hist, order, max_candidates, limit, taken), taken
     )
     # Read three times below; at most max_candidates rows per user.
     kept = durable(top_k(found, "user_id", [F.col("pos")], max_candidates, "cand_rank"))

@@ -51,9 +51,9 @@ def eligible_users(
     test: DataFrame,
     min_train_ratings: int = 5,
     min_test_ratings: int = 1,
-    max_users: int | None = 5000,
+    max_users: int | None = None,
 ) -> DataFrame:
-    """Users with enough train and test rows; the first ``max_users`` in id order."""
+    """Users with enough train and test rows; only the first ``max_users`` in id order if asked."""
     n_train = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_train"))
     n_test = test.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_test"))
     joined = n_train.filter(F.col("n_train") >= min_train_ratings).join(

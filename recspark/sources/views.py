@@ -39,13 +39,16 @@ def interactions(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as reviews: ten documents per item, 47 reviewers, first line as the summary."""
+    """Documents as reviews: ten documents per item, a reviewer for each twenty, first line as the
+    summary. Reviewers are dealt over blocks of 400 documents, so they grow with the table and each
+    meets most items of its block."""
     docs = spread(
         table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     )
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(quality, "doc_id", "left").select(
-        (F.col("doc_id") % 47).alias("user_id"),
+        (F.floor(F.col("doc_id") / 400) * 20 + F.col("doc_id") % 20).cast("long")
+        .alias("user_id"),
         F.floor(F.col("doc_id") / 10).cast("long").alias("item_id"),
         (F.lit(1) + F.col("n_chars") % 5).cast("double").alias("rating"),
         F.substring_index("text", "\n", 1).alias("summary"),

@@ -310,34 +310,43 @@ pred AS (
   LEFT JOIN rated r ON r.user_id = t.user_id AND r.item_id = t.item_id
   LEFT JOIN dev d ON d.user_id = t.user_id AND d.item_id = t.item_id)"""
 
-_CANDIDATES = _STATS + """,
-elig AS (SELECT item_id, pos FROM ipos WHERE n_ratings >= 20),
+def _candidates(cut: int | None, least: int = 20, exclude: str | None = None) -> str:
+    """Candidates of all users, at most ``cut`` each; ``exclude`` selects (user_id, item_id)."""
+    cap = 2**31 if cut is None else cut
+    taken = "SELECT user_id, item_id FROM hist" + (f" UNION {exclude}" if exclude else "")
+    return _STATS + f""",
+taken AS ({taken}),
+elig AS (SELECT item_id, pos FROM ipos WHERE n_ratings >= {least}),
 pairs AS (SELECT DISTINCT a.item_id AS anchor, b.item_id
           FROM hist a JOIN hist b USING (user_id) WHERE a.item_id <> b.item_id),
 reach AS (SELECT DISTINCT h.user_id, p.item_id, e.pos
           FROM hist h JOIN pairs p ON p.anchor = h.item_id JOIN elig e ON e.item_id = p.item_id
-          WHERE NOT EXISTS (SELECT 1 FROM hist x
+          WHERE NOT EXISTS (SELECT 1 FROM taken x
                             WHERE x.user_id = h.user_id AND x.item_id = p.item_id)),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS rk
-                        FROM reach) WHERE rk <= 500),
+                        FROM reach) WHERE rk <= {cap}),
 found AS (SELECT s.user_id, s.n_train, coalesce(max(rk), 0) AS n
           FROM sizes s LEFT JOIN kept USING (user_id) GROUP BY 1, 2),
 pad AS (SELECT * FROM (
   SELECT f.user_id, e.item_id, f.n + row_number() OVER (PARTITION BY f.user_id ORDER BY e.pos)
            AS rk
-  FROM found f JOIN elig e ON e.pos <= 500 + f.n_train
-  WHERE f.n < 500
-    AND NOT EXISTS (SELECT 1 FROM hist x WHERE x.user_id = f.user_id AND x.item_id = e.item_id)
+  FROM found f CROSS JOIN elig e
+  WHERE f.n < {cap}
+    AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.user_id = f.user_id AND x.item_id = e.item_id)
     AND NOT EXISTS (SELECT 1 FROM kept x WHERE x.user_id = f.user_id AND x.item_id = e.item_id))
-  WHERE rk <= 500),
+  WHERE rk <= {cap}),
 cand AS (SELECT user_id, item_id, rk, 'cooccurrence' AS source FROM kept
          UNION ALL SELECT user_id, item_id, rk, 'popular' FROM pad)"""
 
+# Pairs left out of rankings on top of what was seen, some of them among the most popular items.
+_EXCLUDED = """SELECT s.user_id, i.item_id FROM sizes s JOIN ipos i
+  ON i.pos <= 40 AND (s.user_id + i.item_id) % 3 = 0"""
+
 # Reviews ------------------------------------------------------------------------------------------
 
 _REVIEWS = r"""
 rv AS (
-  SELECT doc_id % 47 AS user_id, CAST(floor(doc_id / 10) AS BIGINT) AS item_id,
+  SELECT CAST(floor(doc_id / 400) * 20 + doc_id % 20 AS BIGINT) AS user_id, CAST(floor(doc_id / 10) AS BIGINT) AS item_id,
          CAST(1 + n_chars % 5 AS DOUBLE) AS rating, split_part(text, chr(10), 1) AS summary,
          text AS reviewText,
          CASE quality WHEN 1 THEN 'true' WHEN 0 THEN 'false' END AS verified,
@@ -446,10 +455,15 @@ tried AS (
   SELECT p.user_id, p.item, t AS trial,
          {_draw('(SELECT count(*) FROM iidx)', '42', '0', 'p.user_id', 'p.item', 't')} AS neg
   FROM npos p, range(1, 21) r(t)),
-neg AS (
+fair AS (
   SELECT user_id, item, arg_min(neg, trial) AS neg, min(trial) AS trial FROM tried x
   WHERE NOT EXISTS (SELECT 1 FROM npos p WHERE p.user_id = x.user_id AND p.item = x.neg)
   GROUP BY 1, 2),
+neg AS (
+  SELECT * FROM fair UNION ALL
+  SELECT p.user_id, p.item,
+    {_draw('(SELECT count(*) FROM iidx)', '42', '0', "'any'", 'p.user_id', 'p.item')}, 21
+  FROM npos p ANTI JOIN fair f ON f.user_id = p.user_id AND f.item = p.item),
 named AS (SELECT n.user_id, a.item_id, b.item_id AS neg_item_id, n.trial
           FROM neg n JOIN iidx a ON a.idx = n.item JOIN iidx b ON b.idx = n.neg)"""
 
@@ -461,7 +475,7 @@ bu AS (SELECT u, item, row_number() OVER (PARTITION BY u ORDER BY d) - 1 AS k,
               count(*) OVER (PARTITION BY u) AS n FROM h),
 bi AS (SELECT u, item, row_number() OVER (PARTITION BY item ORDER BY d) - 1 AS k,
               count(*) OVER (PARTITION BY item) AS n FROM h),
-p AS (SELECT user_id, item, t AS trial FROM npos, range(1, 7) r(t)),
+p AS (SELECT user_id, item, t AS trial FROM npos, range(1, 31) r(t)),
 zu AS (SELECT u, n FROM bu WHERE k = 0),
 zi AS (SELECT item, n FROM bi WHERE k = 0),
 k1 AS MATERIALIZED (SELECT p.*, {_draw('z.n', '42', '0', "'own'", *_KEY)} AS k
@@ -476,11 +490,26 @@ k3 AS MATERIALIZED (SELECT p.*, {_draw('z.n', '42', '0', "'item'", *_KEY)} AS k
                     FROM s2 p JOIN zu z ON z.u = p.v),
 s3 AS MATERIALIZED (SELECT p.user_id, p.item, p.trial, p.j, b.item AS neg
                     FROM k3 p JOIN bu b ON b.u = p.v AND b.k = p.k),
-neg AS (
+hard AS MATERIALIZED (
   SELECT user_id, item, arg_min(neg, trial) AS neg, min(trial) AS trial FROM s3 x
   WHERE neg <> j
     AND NOT EXISTS (SELECT 1 FROM npos q WHERE q.user_id = x.user_id AND q.item = x.neg)
-  GROUP BY 1, 2)"""
+  GROUP BY 1, 2),
+rest AS MATERIALIZED (
+  SELECT p.user_id, p.item FROM npos p
+  ANTI JOIN hard h ON h.user_id = p.user_id AND h.item = p.item),
+soft AS MATERIALIZED (
+  SELECT user_id, item, arg_min(neg, trial) AS neg, min(trial) AS trial FROM (
+    SELECT p.user_id, p.item, t AS trial,
+           {_draw('(SELECT count(*) FROM iidx)', '42', '0', 'p.user_id', 'p.item', 't')} AS neg
+    FROM rest p, range(31, 231) r(t)) x
+  WHERE NOT EXISTS (SELECT 1 FROM npos q WHERE q.user_id = x.user_id AND q.item = x.neg)
+  GROUP BY 1, 2),
+neg AS (
+  SELECT * FROM hard UNION ALL SELECT * FROM soft UNION ALL
+  SELECT p.user_id, p.item,
+    {_draw('(SELECT count(*) FROM iidx)', '42', '0', "'any'", 'p.user_id', 'p.item')}, 231
+  FROM rest p ANTI JOIN soft f ON f.user_id = p.user_id AND f.item = p.item)"""
 
 _TITLE = """
 titles AS (
@@ -535,11 +564,11 @@ ORACLE_SQL: dict[str, str] = {
     "eligible_users": f"""WITH {_SPLIT} SELECT user_id, n_train, n_test FROM
         (SELECT user_id, count(*) AS n_train FROM train GROUP BY 1) JOIN
         (SELECT user_id, count(*) AS n_test FROM test GROUP BY 1) USING (user_id)
-        WHERE n_train >= 20 AND n_test >= 5 ORDER BY user_id LIMIT 1000""",
+        WHERE n_train >= 20 AND n_test >= 5""",
     "small_dataset_sizes": f"""WITH {_SPLIT}, keep AS (SELECT user_id FROM
         (SELECT user_id, count(*) AS n_train FROM train GROUP BY 1) JOIN
         (SELECT user_id, count(*) AS n_test FROM test GROUP BY 1) USING (user_id)
-        WHERE n_train >= 20 AND n_test >= 5 ORDER BY user_id LIMIT 1000)
+        WHERE n_train >= 20 AND n_test >= 5)
         SELECT (SELECT count(*) FROM keep) AS users,
         (SELECT count(*) FROM train JOIN keep USING (user_id)) AS train_rows,
         (SELECT count(*) FROM test JOIN keep USING (user_id)) AS test_rows""",
@@ -570,10 +599,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'item', item_id, round(avg(rating) - any_value(m), 9) FROM train, mu
         GROUP BY item_id""",
     "rating_residuals": f"""WITH {_STATS}, mu AS (SELECT avg(rating) AS m FROM train),
-        ub AS (SELECT user_id, avg(rating) - any_value(m) AS bu FROM train, mu GROUP BY 1),
-        ib AS (SELECT item_id, avg(rating) - any_value(m) AS bi FROM train, mu GROUP BY 1)
-        SELECT row_key, user_id, item_id, round(rating - m - bu - bi, 9) AS residual
-        FROM train JOIN ub USING (user_id) JOIN ib USING (item_id), mu""",
+        ub AS MATERIALIZED (SELECT user_id, avg(rating) AS bu FROM train GROUP BY 1),
+        ib AS MATERIALIZED (SELECT item_id, avg(rating) AS bi FROM train GROUP BY 1)
+        SELECT t.row_key, t.user_id, t.item_id,
+          round(t.rating + (SELECT m FROM mu) - ub.bu - ib.bi, 9) AS residual
+        FROM train t JOIN ub ON ub.user_id = t.user_id JOIN ib ON ib.item_id = t.item_id""",
     "item_pair_overlap": f"""WITH {_STATS}, {_OVERLAP} SELECT ia AS item_a, ib AS item_b,
         c AS n_users, round(c / (ra.n_raters + rb.n_raters - c), 9) AS jaccard FROM overlap
         JOIN raters ra ON ra.item_id = ia JOIN raters rb ON rb.item_id = ib WHERE ia < ib""",
@@ -595,10 +625,13 @@ ORACLE_SQL: dict[str, str] = {
         round(recall, 9) AS recall, round(ndcg, 9) AS ndcg, hit_rate,
         round(avg_recommended_popularity, 9) AS avg_recommended_popularity,
         round(catalog_coverage, 9) AS catalog_coverage FROM pu""",
-    "candidate_items": f"""WITH {_CANDIDATES} SELECT user_id, count(*) AS n_candidates,
+    "candidate_items": f"""WITH {_candidates(500)} SELECT user_id, count(*) AS n_candidates,
         count(*) FILTER (source = 'popular') AS n_popular,
         CAST(sum(item_id * rk) AS BIGINT) AS checksum FROM cand GROUP BY 1""",
-    "candidate_hit_rate": f"""WITH {_CANDIDATES}, u AS (SELECT DISTINCT user_id FROM test
+    "candidate_items_excluding": f"""WITH {_candidates(50, 20, _EXCLUDED)} SELECT user_id,
+        count(*) AS n_candidates, count(*) FILTER (source = 'popular') AS n_popular,
+        CAST(sum(item_id * rk) AS BIGINT) AS checksum FROM cand GROUP BY 1""",
+    "candidate_hit_rate": f"""WITH {_candidates(None)}, u AS (SELECT DISTINCT user_id FROM test
         JOIN sizes USING (user_id) WHERE rating >= 4 AND n_train >= 5)
         SELECT round(avg(CASE WHEN c.user_id IS NULL THEN 0.0 ELSE 1.0 END), 9)
         AS candidate_hit_rate, count(*) AS n_test_rows
@@ -632,6 +665,40 @@ ORACLE_SQL: dict[str, str] = {
         SELECT user_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER
           (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM allsc)
         WHERE rank <= 10""",
+    "item_cf_top_n_excluding": f"""WITH {_CF_SIM}, banned AS ({_EXCLUDED}),
+        edge AS (SELECT item_a AS j, item_b AS i, sim FROM sims
+                 UNION ALL SELECT item_b, item_a, sim FROM sims),
+        large AS (SELECT user_id FROM sizes WHERE n_train > 50),
+        cut AS (SELECT * FROM (SELECT r.user_id, e.i, e.sim, r.dev,
+                  row_number() OVER (PARTITION BY r.user_id, e.i
+                                     ORDER BY round(e.sim, 9) DESC, r.item_id) AS k
+                FROM rated r JOIN large USING (user_id) JOIN edge e ON e.j = r.item_id)
+                WHERE k <= 50),
+        agg AS (SELECT r.user_id, e.i, sum(e.sim * r.dev) AS num, sum(e.sim) AS den
+                FROM rated r JOIN edge e ON e.j = r.item_id
+                WHERE r.user_id NOT IN (SELECT user_id FROM large) GROUP BY 1, 2
+                UNION ALL SELECT user_id, i, sum(sim * dev), sum(sim) FROM cut GROUP BY 1, 2),
+        allsc AS (SELECT s.user_id, m.item_id, round(m.item_mean + CASE WHEN den >= 1e-9
+                    THEN num / den ELSE 0.0 END, 9) AS score
+                  FROM sizes s CROSS JOIN means m
+                  LEFT JOIN agg a ON a.user_id = s.user_id AND a.i = m.item_id
+                  WHERE NOT EXISTS (SELECT 1 FROM hist h
+                                    WHERE h.user_id = s.user_id AND h.item_id = m.item_id)
+                    AND NOT EXISTS (SELECT 1 FROM banned x
+                                    WHERE x.user_id = s.user_id AND x.item_id = m.item_id))
+        SELECT user_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER
+          (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM allsc)
+        WHERE rank <= 10""",
+    "popularity_top_n_excluding": f"""WITH {_STATS}, banned AS ({_EXCLUDED}),
+        open_ AS (SELECT s.user_id, i.item_id, i.pos, i.n_ratings FROM sizes s JOIN ipos i ON i.pos <= 60 + s.n_train
+          WHERE NOT EXISTS (SELECT 1 FROM hist h
+                            WHERE h.user_id = s.user_id AND h.item_id = i.item_id)
+            AND NOT EXISTS (SELECT 1 FROM banned x
+                            WHERE x.user_id = s.user_id AND x.item_id = i.item_id))
+        SELECT user_id, item_id, rank, score FROM (SELECT user_id, item_id,
+          CAST(n_ratings AS DOUBLE) AS score,
+          row_number() OVER (PARTITION BY user_id ORDER BY pos) AS rank FROM open_)
+        WHERE rank <= 10""",
     "list_diversity": f"""WITH {_LISTS}, {_DIVERSITY} SELECT user_id,
         round(diversity, 9) AS diversity FROM div""",
     "list_novelty": f"""WITH {_LISTS}, {_DIVERSITY} SELECT user_id, round(novelty, 9) AS novelty,
