@@ -296,12 +296,21 @@ def block_starts(spark: SparkSession, path: str) -> DataFrame:
         "part", "block", (F.col("part_start") + F.col("inside")).alias("start"))
 
 
-def roundtrip(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """Write the file set below the shared folder and read it back:
-    ``doc_id, start, n_tokens, ids``, one row per row of ``docs``."""
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of :func:`read_files`, without ``ids`` or with something narrow in their place, with
+    ``start``, the ids of all documents before, instead of their place in the files."""
+    starts = block_starts(rows.sparkSession, path)
+    keep = [c for c in rows.columns if c not in ("part", "block", "place", "before", "doc_id")]
+    return rows.join(starts, ["part", "block"]).select(
+        "doc_id", (F.col("start") + F.col("before")).alias("start"), *keep)
+
+
+def roundtrip(docs: DataFrame, vocabulary: str = "word_bpe_49k.json",
+              derive=lambda decoded: decoded) -> DataFrame:
+    """Write the file set below the shared folder and read it back: ``doc_id, start, n_tokens,
+    ids``, one row per row of ``docs``. ``derive`` may put a digest in the place of ``ids`` before
+    rows are moved to get their starts."""
     spark = docs.sparkSession
     path = fresh_path(spark, "huffman")
     write_files(docs, path, vocabulary)
-    return read_files(spark, path).join(block_starts(spark, path), ["part", "block"]).select(
-        "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
-
+    return with_starts(derive(read_files(spark, path)), path)

@@ -24,7 +24,7 @@ def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_huffman(spark: SparkSession, d: str) -> DataFrame:
-    return _digest(huffman.roundtrip(table(spark, d, "documents")))
+    return huffman.roundtrip(table(spark, d, "documents"), derive=_digest)
 
 
 def op4_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
