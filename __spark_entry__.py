@@ -12,7 +12,7 @@ from collections.abc import Callable
 from importlib import import_module
 from importlib.util import find_spec
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from recspark.functions.scores import hinge_loss, log_sigmoid_loss
 from recspark.metrics import beyond, cold_start, explanation, fairness, late_fusion, rating, topn
@@ -20,6 +20,7 @@ from recspark.models import pairwise
 from recspark.models.hybrid import ContentHybrid
 from recspark.models.implicit_als import ImplicitALS
 from recspark.models.item_cf import ItemCF
+from recspark.models.latent import rank_by_dot
 from recspark.models.mf import MatrixFactorization
 from recspark.models.popularity import Popularity
 from recspark.operators import candidates, explain, negatives, pairs, rerank, split, stats, \
@@ -566,6 +567,17 @@ def q_dense_cosine(spark, d):
     return _r(textprofiles.DenseProfiles(users, items).score(known), "text_sim", digits=6)
 
 
+def q_catalogue_top_n(spark, d):
+    """Exact Top-N over the embedding catalogue; a user has seen its two neighbours."""
+    users, items = views.vectors(spark, d)
+    u = users.select(F.col("id").alias("user_id"), F.col("embedding").alias("features"))
+    i = items.select(F.col("id").alias("item_id"), F.col("embedding").alias("features"))
+    seen = u.select("user_id", F.explode(F.array(
+        F.col("user_id") - 1, F.col("user_id") + 1)).alias("item_id"))
+    lists = rank_by_dot(u, i, u.select("user_id"), TOP_N, seen, None, "dot")
+    return _r(lists, "score", digits=6).select("user_id", "item_id", "rank", "score")
+
+
 # -- negatives and reporting ----------------------------------------------------------------------------
 
 
@@ -670,6 +682,71 @@ def q_warp_top_n(spark, d):
     return pairwise.fit_warp(_train(spark, d), 16, 2).rank(_users(spark, d), TOP_N)
 
 
+def _list_check(lists: DataFrame, seen: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """One row about Top-N lists of a factor model: users and rows, and how many rows break a rule
+    (rank that is not the next one, score above the one before, seen item, score that is not the
+    product of the factors)."""
+    w = W.partitionBy("user_id").orderBy("rank")
+    dot = F.aggregate(
+        F.zip_with("u", "i", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0),
+        lambda a, x: a + x)
+    rows = lists.withColumns({
+        "_place": F.row_number().over(w), "_before": F.lag("score").over(w)})
+    rows = rows.join(users.select("user_id", F.col("features").alias("u")), "user_id", "left").join(
+        items.select("item_id", F.col("features").alias("i")), "item_id", "left")
+    known = seen.select("user_id", "item_id", F.lit(1).alias("_seen")).distinct()
+    rows = rows.join(known, ["user_id", "item_id"], "left")
+    return rows.agg(
+        F.count_distinct("user_id").alias("users"),
+        F.count(F.lit(1)).alias("list_rows"),
+        F.count_if(F.col("rank") != F.col("_place")).alias("broken_ranks"),
+        F.count_if(F.col("score") > F.col("_before")).alias("broken_order"),
+        F.count("_seen").alias("seen_items"),
+        F.count_if(~F.coalesce(F.abs(dot - F.col("score")) < 1e-6, F.lit(False))).alias(
+            "broken_scores"),
+    )
+
+
+def q_implicit_als_check(spark, d):
+    m = _als(spark, d)
+    return _list_check(m.rank(_users(spark, d), TOP_N), _train(spark, d), m.user_factors,
+                       m.item_factors)
+
+
+def q_implicit_als_fold_in(spark, d):
+    """Users whose factors, solved again from all their positives, miss the trained solution's
+    normal equations by more than a thousandth: users asked and users off."""
+    m = _als(spark, d)
+    again = m.fold_in(m.positives())
+    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0).cast("float"),
+                      lambda s, x: F.greatest(s, x))
+    both = again.select("user_id", F.col("features").alias("a")).join(
+        m.user_factors.select("user_id", F.col("features").alias("b")), "user_id")
+    return both.agg(F.count(F.lit(1)).alias("users"), F.count_if(gap > 0.001).alias("users_off"))
+
+
+def _pairwise_check(spark, d, model):
+    return _list_check(model.rank(_users(spark, d), TOP_N), _train(spark, d), model.user_factors,
+                       model.item_factors)
+
+
+def q_implicit_bpr_check(spark, d):
+    return _pairwise_check(spark, d, pairwise.fit_implicit_bpr(_train(spark, d), 16, 2))
+
+
+def q_warp_check(spark, d):
+    return _pairwise_check(spark, d, pairwise.fit_warp(_train(spark, d), 16, 2))
+
+
+def q_experiment_users(spark, d):
+    """How many users the full evaluation of a ranker looks at, by step."""
+    rows = experiment.evaluate_ranker(
+        "Implicit ALS", _als(spark, d), _train(spark, d), _test(spark, d), "run",
+        top_n=TOP_N, relevance_threshold=THRESHOLD)
+    return rows.filter(F.col("metric") == "n_explanation_users_eval").select(
+        F.col("value").cast("long").alias("users"))
+
+
 def q_experiment(spark, d):
     return experiment.evaluate_ranker(
         "Implicit ALS", _als(spark, d), _train(spark, d), _test(spark, d), "run",

@@ -10,18 +10,18 @@ from ..operators.topk import SCORE_DIGITS
 
 USER_BLOCK = 1024
 ITEM_BLOCK = 8192
+# Bytes of item vectors that are sent to every task at once.
+BROADCAST_BYTES = 64 << 20
 
 
 def _block(key: str, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def _packed(factors: DataFrame, id_col: str, blocks: int, name: str) -> DataFrame:
+def _packed(factors: DataFrame, id_col: str, name: str) -> DataFrame:
     """One row per block: ids and their vectors laid end to end (blocks have a bounded size)."""
     entry = F.struct(F.col(id_col).alias("id"), F.col("features").cast("array<float>").alias("f"))
-    grouped = factors.groupBy(_block(id_col, blocks).alias(name)).agg(
-        F.collect_list(entry).alias("_e")
-    )
+    grouped = factors.groupBy(name).agg(F.collect_list(entry).alias("_e"))
     return grouped.select(
         name,
         F.transform("_e", lambda e: e["id"]).alias(f"{name}_ids"),
@@ -29,13 +29,10 @@ def _packed(factors: DataFrame, id_col: str, blocks: int, name: str) -> DataFram
     )
 
 
-def _pair_blocks(pairs: DataFrame, n_u: int, n_i: int, name: str) -> DataFrame:
-    grouped = pairs.groupBy(
-        _block("user_id", n_u).alias("ub"), _block("item_id", n_i).alias("ib")
-    ).agg(F.collect_list(F.struct("user_id", "item_id")).alias("_p"))
+def _pairs_of_block(pairs: DataFrame, name: str) -> DataFrame:
+    grouped = pairs.groupBy("ub").agg(F.collect_list(F.struct("user_id", "item_id")).alias("_p"))
     return grouped.select(
         "ub",
-        "ib",
         F.transform("_p", lambda p: p["user_id"]).alias(f"{name}_users"),
         F.transform("_p", lambda p: p["item_id"]).alias(f"{name}_items"),
     )
@@ -85,27 +82,40 @@ def top_items(
     candidates: DataFrame | None = None,
     user_block: int = USER_BLOCK,
     item_block: int = ITEM_BLOCK,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Best ``n`` items per user and item block by inner product, seen items left out.
 
-    Both factor tables are cut into blocks of bounded size; every user block visits every item
-    block through an equi-join on the block number. A visit multiplies two small matrices in NumPy
-    and returns ``n`` items per user, never the score of every pair. With ``candidates`` only those
-    (user, item) pairs compete. Cut the result once more per user to get the final list.
+    Users stay where they are, in blocks with the pairs they have seen. The catalogue comes to them
+    in chunks of blocks that are counted to be at most ``broadcast_bytes``; a visit of a user block
+    by an item block multiplies two small matrices in NumPy and returns ``n`` items per user. With
+    ``candidates`` only those (user, item) pairs compete. Cut the result once more per user to get
+    the final list.
     """
-    n_u = max(1, -(-user_factors.count() // user_block))
-    n_i = max(1, -(-item_factors.count() // item_block))
-    users = _packed(user_factors, "user_id", n_u, "ub").withColumn(
-        "ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))
-    )
-    items = _packed(item_factors, "item_id", n_i, "ib")
-    tasks = users.join(items, "ib").join(
-        _pair_blocks(seen, n_u, n_i, "seen"), ["ub", "ib"], "left"
-    )
+    spark = user_factors.sparkSession
+    n_users, n_items = user_factors.count(), item_factors.count()
+    n_u, n_i = max(1, -(-n_users // user_block)), max(1, -(-n_items // item_block))
+    parts = min(n_u, max(4 * spark.sparkContext.defaultParallelism,
+                         int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def by_block(df: DataFrame) -> DataFrame:
+        return df.withColumn("ub", _block("user_id", n_u)).repartition(parts, "ub")
+
+    tasks = _packed(by_block(user_factors), "user_id", "ub").join(
+        _pairs_of_block(by_block(seen), "seen"), "ub", "left")
     if candidates is not None:
-        tasks = tasks.join(_pair_blocks(candidates, n_u, n_i, "cand"), ["ub", "ib"], "left")
+        tasks = tasks.join(_pairs_of_block(by_block(candidates), "cand"), "ub", "left")
+    width = item_factors.select(F.max(F.size("features"))).first()[0] or 1
+    per_chunk = max(1, broadcast_bytes // (item_block * (4 * width + 8)))
+    coded = item_factors.withColumn("ib", _block("item_id", n_i))
     fields = {f.name: f.dataType.simpleString() for f in user_factors.schema.fields}
     item_type = {f.name: f.dataType.simpleString() for f in item_factors.schema.fields}["item_id"]
     schema = f"user_id {fields['user_id']}, item_id {item_type}, score double"
-    tasks = tasks.repartition(n_u * n_i, "ub", "ib") if n_u * n_i > 1 else tasks
-    return tasks.mapInPandas(_kernel(n, candidates is not None), schema)
+    found = None
+    for first in range(0, n_i, per_chunk):
+        inside = coded.filter(F.col("ib").between(first, first + per_chunk - 1))
+        chunk = _packed(inside, "item_id", "ib").withColumn("chunk", F.lit(first))
+        met = tasks.withColumn("chunk", F.lit(first)).join(F.broadcast(chunk), "chunk")
+        best = met.drop("chunk").mapInPandas(_kernel(n, candidates is not None), schema)
+        found = best if found is None else found.unionByName(best)
+    return found

@@ -546,6 +546,19 @@ nov AS (SELECT user_id, avg(-log2(greatest(popularity, 1e-12))) AS novelty,
                avg(popularity) AS popularity_concentration
         FROM recs JOIN ipos USING (item_id) GROUP BY 1)"""
 
+
+
+def _check(only: str) -> str:
+    """Top-10 lists of a factor model: all users and items of the train rows it knows, no faults."""
+    known = f"SELECT * FROM train {only}"
+    return f""", known AS ({known}), items AS (SELECT DISTINCT item_id FROM known)
+        SELECT count(*) AS users, CAST(sum(least(10, (SELECT count(*) FROM items) - n)) AS BIGINT)
+          AS list_rows, 0 AS broken_ranks, 0 AS broken_order, 0 AS seen_items, 0 AS broken_scores
+        FROM (SELECT user_id, (SELECT count(*) FROM hist h JOIN items USING (item_id)
+                               WHERE h.user_id = s.user_id) AS n
+              FROM sizes s WHERE user_id IN (SELECT user_id FROM known))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "train_test_split": f"WITH {_SPLIT} SELECT user_id, item_id, rating, row_key, split FROM labelled",
     "split_partition_check": f"""WITH {_SPLIT} SELECT
@@ -809,6 +822,19 @@ ORACLE_SQL: dict[str, str] = {
         WHERE u.vec_id % 2 = 0 AND i.vec_id % 2 = 1)
         SELECT user_id, item_id, round(greatest(0.0, least(1.0, list_dot_product(a, b)
         / sqrt(list_dot_product(a, a) * list_dot_product(b, b)))), 6) AS text_sim FROM p""",
+    "catalogue_top_n": """WITH s AS (SELECT u.vec_id AS user_id, i.vec_id AS item_id,
+        round(list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS score
+        FROM embeddings u JOIN embeddings i
+          ON u.vec_id % 2 = 0 AND i.vec_id % 2 = 1 AND abs(u.vec_id - i.vec_id) <> 1)
+        SELECT user_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER
+          (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 10""",
+    "implicit_als_check": f"WITH {_STATS} {_check('WHERE rating >= 4')}",
+    "implicit_als_fold_in": f"""WITH {_STATS} SELECT count(DISTINCT user_id) AS users,
+        0 AS users_off FROM train WHERE rating >= 4""",
+    "implicit_bpr_check": f"WITH {_STATS} {_check('')}",
+    "warp_check": f"WITH {_STATS} {_check('')}",
+    "experiment_users": f"""WITH {_STATS} SELECT count(DISTINCT user_id) AS users FROM test
+        JOIN sizes USING (user_id) WHERE rating >= 4 AND n_train >= 5""",
     "sample_negatives_uniform": f"""WITH {_UNIFORM} SELECT user_id, item_id, neg_item_id, trial
         FROM named""",
     "sample_negatives_co_rated": f"""WITH {_WALK} SELECT n.user_id, a.item_id,
