@@ -17,8 +17,13 @@ def _strip(x: Column) -> Column:
 
 
 def clean_text(x, max_len: int) -> Column:
-    """Collapse white space, trim, keep the first ``max_len`` characters."""
-    flat = F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\s+", " "))
+    """Collapse white space, trim, keep the first ``max_len`` characters.
+
+    Those come from the first ``max_len`` characters that are not white space and what lies between
+    them, so the rest of a long text is not looked at.
+    """
+    head = F.regexp_extract(F.coalesce(_c(x), F.lit("")), rf"^(?:\s*+\S){{0,{max_len}}}+", 0)
+    flat = F.trim(F.regexp_replace(head, r"\s+", " "))
     return F.substring(flat, 1, max_len)
 
 

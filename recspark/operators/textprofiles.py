@@ -39,16 +39,21 @@ def merged_text(snips: DataFrame, key: str, order: str, max_parts: int) -> DataF
     )
 
 
+def _snippets_of(reviews: DataFrame, max_body_len: int) -> DataFrame:
+    """Reviews that have snippets already are taken as they are."""
+    return reviews if "snippet" in reviews.columns else snippets(reviews, max_body_len)
+
+
 def item_documents(reviews: DataFrame, order: str = "row_key", max_parts: int = 12,
                    max_body_len: int = 400) -> DataFrame:
-    docs = merged_text(snippets(reviews, max_body_len), "item_id", order, max_parts)
+    docs = merged_text(_snippets_of(reviews, max_body_len), "item_id", order, max_parts)
     return docs.filter(F.length("doc") >= MIN_ITEM_TEXT)
 
 
 def user_documents(reviews: DataFrame, order: str = "row_key", max_parts: int = 15,
                    max_body_len: int = 400) -> DataFrame:
     """Profile text per user; too short a text carries no similarity and is left out."""
-    docs = merged_text(snippets(reviews, max_body_len), "user_id", order, max_parts)
+    docs = merged_text(_snippets_of(reviews, max_body_len), "user_id", order, max_parts)
     return docs.filter(F.length("doc") >= MIN_USER_TEXT)
 
 
@@ -87,8 +92,7 @@ def vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: int = 2,
 
 def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """Length-normalised term weights per document."""
-    # The vocabulary has at most max_features rows.
-    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").select(
+    raw = counts.join(vocab.select("term", "idf"), "term").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("w")
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
@@ -118,11 +122,15 @@ class TextProfiles:
         """``stop_words`` defaults to Spark's English list."""
         if stop_words is None:
             stop_words = StopWordsRemover.loadDefaultStopWords("english")
+        # Both kinds of documents are made of the same snippets: texts are read once.
+        reviews = durable(snippets(reviews).select(
+            *dict.fromkeys(("user_id", "item_id", order, "snippet"))))
         items = durable(item_documents(reviews, order, max_parts_per_item))
         if len(items.take(MIN_DOCUMENTS)) < MIN_DOCUMENTS:
             raise ValueError(f"a text index needs at least {MIN_DOCUMENTS} items with text")
         users = user_documents(reviews, order, max_reviews_per_user)
-        item_counts = term_counts(items, "item_id", stop_words, bigrams)
+        # Read twice: for the vocabulary and for the weights.
+        item_counts = durable(term_counts(items, "item_id", stop_words, bigrams))
         user_counts = term_counts(users, "user_id", stop_words, bigrams)
         n_docs = items.agg(F.count(F.lit(1)).alias("n_docs"))
         vocab = durable(vocabulary(item_counts, n_docs, min_df, max_features))
