@@ -33,7 +33,6 @@ TEMPLATES = (
 THRESHOLD = 0.6
 FILE_SHARE = 0.25
 
-_LINE = r"[\r\n]+|(?<=[.!?])[ \t]+"
 _TERM = r"[a-z0-9]+"
 
 
@@ -41,6 +40,11 @@ def _terms(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def _lines(text: str) -> Column:
+    """Lines of a text, ended also by a full stop, ! or ? before a blank."""
+    return F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), r"[\r\n]+")
+
+
 def _vectors(templates, idf: dict[str, float]) -> list[tuple[str, dict[str, float]]]:
     """Templates as weights of length one."""
     out = []
@@ -93,7 +97,7 @@ def matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     pattern = r"(?i)\b(" + "|".join(sorted(anchors(vectors, threshold))) + r")\b"
     lines = files.filter(F.col("text").rlike(pattern)).select(
         "file", F.size(_terms(F.col("text"))).alias("terms"),
-        F.posexplode(F.split("text", _LINE)).alias("line", "body"),
+        F.posexplode(_lines("text")).alias("line", "body"),
     ).filter(F.col("body").rlike(pattern))
     counted = lines.select("file", "terms", "line", _terms(F.col("body")).alias("t")).select(
         "file", "terms", "line", F.size("t").alias("length"), F.explode("t").alias("term")
@@ -172,11 +176,15 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD,
 
 
 def document_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan over ``documents``, filed as ``source/lang/<last two digits of id>/<id>.txt``."""
+    """The scan over ``documents``. The table has no paths: a quarter each of the documents lie in
+    ``<source>`` and ``<source>/<lang>``, the others in ``<source>/<lang>/<id mod 100>``."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")),
-                       F.pmod("doc_id", F.lit(100)).cast("string"),
-                       F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    level = F.pmod("doc_id", F.lit(4))
+    path = F.concat_ws(
+        "/", F.coalesce("source", F.lit("none")),
+        F.when(level > 0, F.coalesce("lang", F.lit("none"))),
+        F.when(level > 1, F.pmod("doc_id", F.lit(100)).cast("string")),
+        F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
     found = scan(docs.select(F.col("doc_id").alias("file"), path.alias("path"), "text"))
-    return found.select(F.col("file").alias("doc_id"), "path", "license", "how", "score",
-                        "from_directory")
+    return found.select(F.col("file").alias("doc_id"), "path", "license", "how",
+                        F.round("score", 6).alias("score"), "from_directory")

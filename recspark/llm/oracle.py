@@ -2,9 +2,79 @@
 
 from __future__ import annotations
 
+from .licenses import FILE_SHARE, TEMPLATES, THRESHOLD
+
 # Words are runs of anything but ASCII white space.
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 
+_TEMPLATES = ", ".join(
+    f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+
+OP2 = f"""
+WITH templates(k, license, body) AS (VALUES {_TEMPLATES}),
+tt AS (SELECT k, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term
+       FROM templates),
+files AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         concat_ws('/', coalesce(source, 'none'),
+                   CASE WHEN doc_id % 4 > 0 THEN coalesce(lang, 'none') END,
+                   CASE WHEN doc_id % 4 > 1 THEN (doc_id % 100)::VARCHAR END) AS dir
+  FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM files),
+seen AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(w) AS term FROM words)
+         WHERE term IN (SELECT term FROM tt)),
+total AS (SELECT count(*) AS n FROM files),
+idf AS (
+  SELECT v.term, ln((1 + (SELECT n FROM total)) / (1 + count(s.term))) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN seen s ON s.term = v.term GROUP BY v.term),
+raw AS (SELECT k, license, term, count(*) * any_value(idf) AS x
+        FROM tt JOIN idf USING (term) GROUP BY ALL),
+weights AS (SELECT k, license, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS w FROM raw),
+parts AS (
+  SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])[ \\t]+', '\\1\n', 'g'),
+                                    '[\\r\\n]+') AS p FROM files),
+lines AS (SELECT doc_id, unnest(p) AS body, generate_subscripts(p, 1) AS line FROM parts),
+terms AS (
+  SELECT doc_id, line, term, count(*) AS n FROM (
+    SELECT doc_id, line, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM lines)
+  GROUP BY ALL),
+weighed AS (
+  SELECT t.*, t.n * coalesce(i.idf, ln((1 + (SELECT n FROM total)) / 2.0) + 1) AS x
+  FROM terms t LEFT JOIN idf i ON i.term = t.term),
+sizes AS (SELECT doc_id, line, sqrt(sum(x * x)) AS size, sum(n) AS length
+          FROM weighed GROUP BY ALL),
+scores AS (
+  SELECT d.*, s.length, round(dot / size, 9) AS score FROM (
+    SELECT doc_id, line, k, license, sum(x * w) AS dot
+    FROM weighed JOIN weights USING (term) GROUP BY ALL) d
+  JOIN sizes s USING (doc_id, line)
+  WHERE round(dot / size, 9) >= {THRESHOLD}),
+own AS (
+  SELECT doc_id, arg_min(license, (-score, license)) AS license, max(score) AS score
+  FROM scores GROUP BY doc_id),
+share AS (
+  SELECT doc_id, sum(length) AS length
+  FROM (SELECT DISTINCT doc_id, line, length FROM scores) GROUP BY doc_id),
+votes AS (
+  SELECT f.dir, o.license, count(*) AS n
+  FROM own o JOIN share USING (doc_id) JOIN files f USING (doc_id) JOIN words USING (doc_id)
+  WHERE share.length / len(w) >= {FILE_SHARE} GROUP BY ALL),
+licensed AS (SELECT dir, arg_min(license, (-n, license)) AS license FROM votes GROUP BY dir),
+ups AS (
+  SELECT dir, unnest([array_to_string(string_split(dir, '/')[1:i], '/')
+                      for i in range(1, len(string_split(dir, '/')) + 1)]) AS up
+  FROM (SELECT DISTINCT dir FROM files)),
+near AS (
+  SELECT u.dir, arg_max(u.up, length(u.up)) AS up, arg_max(l.license, length(u.up)) AS license
+  FROM ups u JOIN licensed l ON l.dir = u.up GROUP BY u.dir)
+SELECT f.doc_id, f.dir || '/' || f.doc_id || '.txt' AS path,
+       coalesce(o.license, n.license) AS license,
+       CASE WHEN o.license IS NOT NULL THEN 'own' WHEN n.license IS NOT NULL THEN 'inherited' END
+         AS how,
+       round(o.score, 6) AS score, CASE WHEN o.license IS NULL THEN n.up END AS from_directory
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN near n USING (dir)
+"""
+
 OP8 = """
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept,
        sha256(coalesce(d.text, '')) AS text_sha256
@@ -103,6 +173,7 @@ LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
 """
 
 ORACLE_SQL = {
+    "op2_licenses": OP2,
     "op4_ngram_jaccard": OP4,
     "op8_exact_dedup": OP8,
     "op9_mixing": OP9,
