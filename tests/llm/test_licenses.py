@@ -8,7 +8,7 @@ ROWS = [
                      "obtaining a copy of this software and associated documentation files (the "
                      "\"Software\")"),
     (2, "a/x/y/code.py", "def f(): pass"),
-    (3, "a/b/code.py", "Some words. " * 9 + "\nLicensed under the Apache License, Version 2.0.\nMore words."),
+    (3, "a/b/code.py", "Some words. " * 20 + "\nLicensed under the Apache License, Version 2.0.\nMore words."),
     (4, "a/b/LICENSE.txt", "Licensed under CC BY-NC 4.0."),
     (5, "a/b/c/d.txt", None), (6, "top.txt", "under the version of this work"), (7, None, ""),
     (8, "z/note.txt", "This work is licensed under the GNU General Public License, version 3."),

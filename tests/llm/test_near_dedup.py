@@ -47,6 +47,23 @@ def test_chains_and_passages(spark, seed):
     assert result(frame(spark, rows)) == near_components(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 12])
+def test_long_lists_in_blocks(spark, monkeypatch, hot):
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "MAX_ROUNDS", hot % 2)
+    rows = chains(random.Random(9), groups=3, size=30)
+    assert result(frame(spark, rows)) == near_components(rows)
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(near_dedup, "PRODUCT", 7)
+    rng = np.random.default_rng(0)
+    x, y = ([np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(k)] for k in (5, 9))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert near_dedup._shared_counts(x, y).tolist() == want
+
+
 def test_borderline_similarities(spark):
     # 4 of 5, 8 of 10 and just below: single-word shingle sets through short and longer texts.
     rows = []
