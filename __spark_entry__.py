@@ -27,7 +27,7 @@ from recspark.operators import candidates, explain, negatives, pairs, rerank, sp
     supports, textprofiles, topk
 from recspark.plans import experiment, explain_view
 from recspark.skew import checkpoint_dir, durable
-from recspark.sources import reviews as review_files, tracking, views
+from recspark.sources import artifacts, reviews as review_files, tracking, views
 
 from recspark_oracle import ORACLE_SQL, STOP_WORDS
 
@@ -174,6 +174,55 @@ def q_jsonl_audit(spark, d):
     return stats.with_scalars(audit, loaded)
 
 
+def q_split_sink(spark, d):
+    """The split, written as partitions and read back."""
+    path = f"{checkpoint_dir(spark)}/split-{uuid.uuid4().hex}"
+    review_files.write_split(_split(spark, d), path)
+    return spark.read.parquet(path).select("user_id", "item_id", "rating", "row_key", "split")
+
+
+def q_subset_sink(spark, d):
+    """Train rows of the eligible users, written as JSON lines and read back strictly."""
+    path = f"{checkpoint_dir(spark)}/subset-{uuid.uuid4().hex}"
+    keep = split.eligible_users(_train(spark, d), _test(spark, d), 20, 5)
+    rows = _train(spark, d).select(
+        F.col("user_id").cast("string"), F.col("item_id").cast("string"), "rating")
+    written = review_files.write_user_subset(
+        rows, keep.select(F.col("user_id").cast("string")), path)
+    return review_files.load_prepared(spark, path).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rating").alias("rating_sum"),
+    ).withColumn("rows_written", F.lit(written).cast("long"))
+
+
+def q_reviewer_names(spark, d):
+    """Names from a raw review file in which some lines have none."""
+    path = f"{checkpoint_dir(spark)}/names-{uuid.uuid4().hex}"
+    name = F.when(F.col("row_key") % 3 == 0, F.lit("  ")).otherwise(
+        F.concat(F.lit(" Reader "), F.col("user_id").cast("string")))
+    line = F.to_json(F.struct(
+        F.col("user_id").cast("string").alias("reviewerID"),
+        F.col("item_id").cast("string").alias("asin"), name.alias("reviewerName")))
+    _reviews(spark, d).select(line.alias("value")).write.text(path)
+    return review_files.reviewer_names(review_files.load_raw(spark, path))
+
+
+def q_stored_model(spark, d):
+    """A fitted model written, found again instead of fitted, and compared: vectors and changes."""
+    root = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    als = _als(spark, d)
+    artifacts.fit_or_load(spark, ImplicitALS, lambda: als, root, "run", "Implicit ALS")
+    again = artifacts.fit_or_load(spark, ImplicitALS, None, root, "run", "Implicit ALS")
+
+    def changed(name: str, key: str) -> DataFrame:
+        a, b = getattr(als, name), getattr(again, name)
+        both = a.join(b.withColumnRenamed("features", "other"), key, "full")
+        return both.agg(
+            F.lit(name).alias("vectors"), F.count(F.lit(1)).alias("n"),
+            F.count_if(~F.col("features").eqNullSafe(F.col("other"))).alias("changed"))
+
+    return changed("user_factors", "user_id").unionByName(changed("item_factors", "item_id"))
+
+
 def q_eligible_users(spark, d):
     return split.eligible_users(_train(spark, d), _test(spark, d), 20, 5)
 
@@ -557,6 +606,14 @@ def q_content_hybrid(spark, d):
         "user_id", "item_id", "rank", "fused")
 
 
+def q_content_hybrid_unknown(spark, d):
+    """The hybrid for users it has never seen: popular items, unfused."""
+    rv = _reviews(spark, d).select("user_id", "item_id", "rating", "row_key")
+    model = ContentHybrid(Popularity.fit(rv), _text(spark, d), rv, pool_size=POOL)
+    users = rv.select((-1 - F.col("user_id")).alias("user_id")).distinct()
+    return model.rank(users, TOP_N).select("user_id", "item_id", "rank", "fused")
+
+
 def q_dense_cosine(spark, d):
     users, items = views.vectors(spark, d)
     pool = users.select(

@@ -574,6 +574,24 @@ ORACLE_SQL: dict[str, str] = {
         count(*) > 0 AND count(*) FILTER (bad) = 0 AS is_valid,
         count(*) FILTER (NOT bad AND NOT noid AND NOT norate) AS loaded_rows,
         sum(rating) FILTER (NOT bad AND NOT noid AND NOT norate) AS loaded_rating_sum FROM f""",
+    "split_sink": f"WITH {_SPLIT} SELECT user_id, item_id, rating, row_key, split FROM labelled",
+    "subset_sink": f"""WITH {_SPLIT}, keep AS (SELECT user_id FROM
+        (SELECT user_id, count(*) AS n_train FROM train GROUP BY 1) JOIN
+        (SELECT user_id, count(*) AS n_test FROM test GROUP BY 1) USING (user_id)
+        WHERE n_train >= 20 AND n_test >= 5)
+        SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n, sum(rating) AS rating_sum,
+          CAST(sum(count(*)) OVER () AS BIGINT) AS rows_written
+        FROM train JOIN keep USING (user_id) GROUP BY user_id""",
+    "reviewer_names": f"""WITH {_REVIEWS} SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id,
+        'Reader ' || user_id AS name FROM rv WHERE row_key % 3 <> 0""",
+    "stored_model": f"""WITH {_STATS} SELECT 'user_factors' AS vectors,
+        count(DISTINCT user_id) AS n, 0 AS changed FROM train WHERE rating >= 4 UNION ALL
+        SELECT 'item_factors', count(DISTINCT item_id), 0 FROM train WHERE rating >= 4""",
+    "content_hybrid_unknown": f"""WITH {_REVIEWS},
+        c AS (SELECT item_id, count(*) AS n FROM rv GROUP BY 1),
+        best AS (SELECT item_id, row_number() OVER (ORDER BY n DESC, item_id) AS rank FROM c)
+        SELECT DISTINCT -1 - user_id AS user_id, b.item_id, b.rank, CAST(NULL AS DOUBLE) AS fused
+        FROM rv, best b WHERE b.rank <= 10""",
     "eligible_users": f"""WITH {_SPLIT} SELECT user_id, n_train, n_test FROM
         (SELECT user_id, count(*) AS n_train FROM train GROUP BY 1) JOIN
         (SELECT user_id, count(*) AS n_test FROM test GROUP BY 1) USING (user_id)
