@@ -12,9 +12,12 @@ all shingles. A longer prefix (larger ``l``) makes more postings but lets a pair
    fifth is unique to them are done. The rest order their shingles by frequency and choose ``l`` by
    the estimated cost of their candidates.
 3. Sets that meet in a posting list are first verified against one pivot of the list each, so a
-   large group of near copies joins up with a row per member. Remaining pairs of sets that lie in
-   different components are all enumerated, counted and verified, so no link between components is
-   missed; pairs inside a component cannot change it.
+   large group of near copies joins up with a row per member. All pairs of a list whose sets still
+   lie in different components are then compared, so no link between components is missed; pairs
+   inside a component cannot change it. Short lists are joined, matches counted and candidates
+   verified. Lists longer than ``HOT`` are cut into blocks; a task compares two blocks by matrix
+   products and returns no more rows than they have sets. A pair of such sets is compared in the
+   first long list that both are in, and sets travel only to lists in which they have such a pair.
 """
 
 from __future__ import annotations
@@ -38,7 +41,11 @@ TOP, BASE = 4, 5
 PACK = 4_000_000
 # Pivot rounds go on while they help and the pairs left exceed this many per posting.
 PAIRS_PER_POSTING = 2
-MAX_ROUNDS = 6
+MAX_ROUNDS = 3
+# Longest posting list that is joined row by row, sets of a block, and shingles per product.
+HOT = 64
+BLOCK = 1024
+PRODUCT = 4096
 
 
 def need(n):
@@ -311,21 +318,125 @@ def linked(sets: DataFrame, posts: DataFrame) -> DataFrame | None:
         if not grow(rows.select(F.least("node", "pivot").alias("a"),
                                 F.greatest("node", "pivot").alias("b")).distinct()):
             break
-    now = _labelled(posts, labels).join(
-        _lists(_labelled(posts, labels), 0).select("token"), "token", "left_semi")
-    now = stored(now, "open")
-    x = now.select("token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "ell", "rank",
-                                                                  "label")])
-    y = now.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "ell", "rank",
-                                                                  "label")])
+    now = _labelled(posts, labels)
+    now = stored(now.join(_lists(now, 0).select("token"), "token", "left_semi"), "open")
+    long = now.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT)
+    grow(_short_pairs(now.join(long, "token", "left_anti")))
+    found = stored(_long_links(now.join(long, "token"), sets), "links")
+    if found.take(1):
+        labels = components(found if links is None else links.unionByName(found))
+    return labels
+
+
+def _short_pairs(posts: DataFrame) -> DataFrame:
+    """Candidates ``a, b`` with enough matches in short lists, from different components."""
+    cols = ("node", "n", "ell", "rank", "label")
+    x = posts.select("token", *[F.col(c).alias(f"{c}_x") for c in cols])
+    y = posts.select("token", *[F.col(c).alias(f"{c}_y") for c in cols])
     ell = F.least("ell_x", "ell_y")
     met = x.join(y, "token").filter(
         (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
         & (F.col("rank_x") <= ell) & (F.col("rank_y") <= ell) & _fits("n_x", "n_y"))
-    grow(met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(
+    return met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(
         F.count(F.lit(1)).alias("c"), F.min(ell).alias("ell")
-    ).filter("c >= ell").select("a", "b"))
-    return labels
+    ).filter("c >= ell").select("a", "b")
+
+
+def _in_block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows with ``token, node`` copied to every pair ``i <= j`` of their list's blocks."""
+    count = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return rows.join(count, "token").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop(
+        "other", "blocks")
+
+
+def _incidence(lists: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """0/1 rows: which of the sorted ``columns`` each sorted list holds."""
+    out = np.zeros((len(lists), len(columns)), dtype=np.float32)
+    if len(columns):
+        for row, have in zip(out, lists, strict=True):
+            at = np.minimum(np.searchsorted(columns, have), len(columns) - 1)
+            row[at[columns[at] == have]] = 1
+    return out
+
+
+def _shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all ``x`` with all ``y``."""
+    total = np.zeros((len(x), len(y)), dtype=np.float32)
+    if x and y:
+        both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+        for k in range(0, len(both), PRODUCT):
+            part = both[k:k + PRODUCT]
+            total += _incidence(x, part) @ _incidence(y, part).T
+    return total
+
+
+def _open_pairs(table: pa.Table):
+    """Rows of the two blocks of a group, and which of their pairs this list must compare."""
+    token, i, j = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
+    own = table.column("own").to_numpy()
+    label, n = table.column("label").to_numpy(), table.column("n").to_numpy()
+    node = table.column("node").to_numpy()
+    earlier = [np.asarray(h, dtype=np.int64) for h in table.column("hots").to_pylist()]
+    earlier = [h[h < token] for h in earlier]
+    x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    open_ = (label[x][:, None] != label[y]) & (
+        np.minimum(n[x][:, None], n[y]) * BASE >= np.maximum(n[x][:, None], n[y]) * TOP)
+    if i == j:
+        open_ &= node[x][:, None] < node[y]
+    if open_.any():
+        open_ &= _shared_counts([earlier[k] for k in x], [earlier[k] for k in y]) == 0
+    return x, y, open_
+
+
+def _needed(table: pa.Table) -> pa.Table:
+    x, y, open_ = _open_pairs(table)
+    at = np.unique(np.concatenate((x[open_.any(axis=1)], y[open_.any(axis=0)])))
+    return table.select(["token", "node"]).take(pa.array(at))
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links that join different components of two blocks, one for each join."""
+    x, y, open_ = _open_pairs(table)
+    a, b = [], []
+    if open_.any():
+        x, y, open_ = x[open_.any(axis=1)], y[open_.any(axis=0)], open_[
+            np.ix_(open_.any(axis=1), open_.any(axis=0))]
+        sets = table.column("tokens")
+        get = lambda rows: [sets[int(k)].values.to_numpy() for k in rows]
+        n, node, label = (table.column(c).to_numpy() for c in ("n", "node", "label"))
+        both = _shared_counts([np.sort(t) for t in get(x)],
+                              [np.sort(t) for t in get(y)]).astype(np.int64)
+        linked = open_ & (both * BASE >= (n[x][:, None] + n[y] - both) * TOP)
+        up = {k: k for k in label.tolist()}
+
+        def root(k):
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        for p, q in np.argwhere(linked).tolist():
+            r, t = root(int(label[x[p]])), root(int(label[y[q]]))
+            if r != t:
+                up[max(r, t)] = min(r, t)
+                a.append(int(node[x[p]]))
+                b.append(int(node[y[q]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _long_links(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components among the sets of long lists."""
+    hots = posts.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("hots"))
+    rows = stored(posts.select("token", "node", "label", "n").join(hots, "node"), "long-lists")
+    needed = _in_block_pairs(rows).groupBy("token", "i", "j").applyInArrow(
+        _needed, "token long, node long").distinct()
+    held = rows.join(stored(needed, "needed"), ["token", "node"]).join(
+        sets.select("node", "tokens"), "node")
+    return _in_block_pairs(held).groupBy("token", "i", "j").applyInArrow(
+        _block_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
