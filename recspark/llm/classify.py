@@ -25,22 +25,30 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
 
     Rows of ``labels`` that repeat an id count once (largest label); rows without id, label or
     document are not learned from. A text that appears under both labels is left to both classes.
+    Ids and digests are joined and ordered, texts are read for the chosen ids only.
     """
     known = labels.select(F.col("doc_id"), F.col(f"`{target}`").cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(
         F.max("label").alias("label"))
-    cols = ["doc_id", "text", "lang"] if lang else ["doc_id", "text"]
     share = known.agg(F.avg("label").alias("p")).first()["p"]
-    fits = docs.select(*cols).filter(F.length(F.coalesce("text", F.lit(""))) <= sample_chars)
-    keyed = fits.join(known, "doc_id").withColumn(
-        "key", F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("|sample"))))
-    # The sample is the head of each class: a bounded take, not an order over all rows.
-    parts = [keyed.filter(F.col("label") == y).dropDuplicates(["key"]).orderBy("key").limit(
-        per_class) for y in (0, 1)]
-    rows = parts[0].unionByName(parts[1]).select(
-        "text", "label", *(["lang"] if lang else [])).toPandas()
-    rows["text"] = rows["text"].fillna("")
-    return rows, float(share) if share is not None else 0.0
+    text = F.coalesce("text", F.lit(""))
+    key = F.md5(F.concat(text, F.lit("|sample")))
+    fits = docs.filter(F.length(text) <= sample_chars)
+    keyed = fits.select("doc_id", key.alias("key")).join(known, "doc_id")
+    chosen = {}
+    for y in (0, 1):
+        # The head of the class: a bounded take, not an order over all rows.
+        head = keyed.filter(F.col("label") == y).groupBy("key").agg(
+            F.min("doc_id").alias("doc_id")).orderBy("key").limit(per_class)
+        chosen |= {(r["key"], y): r["doc_id"] for r in head.collect()}
+    cols = ["doc_id", text.alias("text"), key.alias("key"), *(["lang"] if lang else [])]
+    rows = fits.filter(F.col("doc_id").isin(sorted(set(chosen.values())))).select(
+        *cols).dropDuplicates(["doc_id", "key"]).toPandas()
+    at = {(k, i): n for n, (k, i) in enumerate(zip(rows["key"], rows["doc_id"], strict=True))}
+    order = sorted(chosen)
+    sample = rows.iloc[[at[k, chosen[k, y]] for k, y in order]].assign(label=[y for _, y in order])
+    share = float(share) if share is not None else 0.0
+    return sample[["text", "label", *(["lang"] if lang else [])]], share
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
