@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import held_out
+from .common import held_out, slices
 
 PER_CLASS = 2_000
 SAMPLE_CHARS = 20_000
@@ -89,7 +89,7 @@ def scored(docs: DataFrame, scores_of: Callable[[list], np.ndarray], column: str
     at = kept.columns.index(text_col)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in slices(stream):
             found = scores_of(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, column])

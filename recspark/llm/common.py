@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A word, as every operator here counts it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Rows that a task turns into Python objects at once.
+SLICE_ROWS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,6 +51,14 @@ def partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def slices(stream: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in slices of few rows, so that little is turned into Python objects at
+    once."""
+    for batch in stream:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def held_out(id_col: str | Column) -> Column:
     """crc32 of the id as text leaves remainder 0 by 5; a missing id is never used for learning."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -15,8 +15,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import slices
+
 # Bytes of text that a task's trie may hold before finished subtrees are given up.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 12 << 20
 
 
 class _Node:
@@ -100,7 +102,7 @@ def _collapse(largest: bool, sorted_keys: bool):
                 yield out.set_column(at, batch.schema.field(at),
                                      pa.array([n for _, n in found], pa.int64()))
 
-        for whole in stream:
+        for whole in slices(stream):
             names = whole.schema.get_field_index
             ids, texts, keys, counts = (
                 whole.column(names(c)).to_pylist() for c in ("_id", "_text", "_key", "_n"))

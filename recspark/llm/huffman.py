@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from . import tokens
-from .common import fresh_path, partitions, stored
+from .common import fresh_path, partitions, slices, stored
 
 # Tokens between two checkpoints and, about, in a block. A block ends with a document.
 LANE = 256
@@ -137,7 +137,7 @@ def _encode_texts(vocabulary: str):
         enc = tokens.encoder(vocabulary)
         codec = pa.Codec("zstd", compression_level=1)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
-        for batch in stream:
+        for batch in slices(stream):
             ns, packed = [], []
             for text in batch.column("text"):
                 ids = enc.encode(text.as_py()) + end

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import partitions, stored
+from .common import partitions, slices, stored
 from .components import components
 from .words import batches, shingle_sets
 
@@ -38,7 +38,7 @@ WIDTH = 5
 # Jaccard similarity of at least 4 / 5.
 TOP, BASE = 4, 5
 # Prefix shingles that a task holds before it packs them.
-PACK = 4_000_000
+PACK = 2_000_000
 # Pivot rounds go on while they help and the pairs left exceed this many per posting.
 PAIRS_PER_POSTING = 2
 MAX_ROUNDS = 3
@@ -100,7 +100,7 @@ def _sketch(ranges: int):
                         places=[places[a:b].tobytes() for a, b in cut])
 
         total = 0
-        for batch in stream:
+        for batch in slices(stream):
             ids = batch.column("doc_id").to_pylist()
             at, ns, sigs = 0, [], []
             for texts in batches(batch.column("text").to_pylist()):
@@ -197,7 +197,7 @@ def survivors(sketch: DataFrame) -> DataFrame:
 
 
 def _full_sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
+    for batch in slices(stream):
         for texts in batches(batch.column("text").to_pylist()):
             found = list(shingle_sets(texts, WIDTH))
             yield pa.RecordBatch.from_arrays(

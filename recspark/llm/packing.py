@@ -27,6 +27,10 @@ GRADES = 128
 FILLER_GRADES = 4
 
 
+# Bytes of ids after which a task hands rows on.
+OUTPUT_BYTES = 4 << 20
+
+
 # -- plan --------------------------------------------------------------------------------------------
 
 
@@ -202,16 +206,26 @@ def _cut(vocabulary: str, capacity: int, schema: pa.Schema):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(vocabulary)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types, strict=True)],
+                schema=schema)
+
         for batch in stream:
             rows: list[tuple] = []
+            size = 0
             for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 ids = enc.encode(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at:at + 4 * capacity]
                     rows.append((doc.as_py(), k, at // 4, len(piece) // 4, piece))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types, strict=True)],
-                schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
+                    size += len(piece)
+                    if size > OUTPUT_BYTES:
+                        yield made(rows)
+                        rows, size = [], 0
+            if rows:
+                yield made(rows)
 
     return run
 

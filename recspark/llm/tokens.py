@@ -14,7 +14,7 @@ import numpy as np
 import tokenizers
 
 # Distinct words a worker remembers (about 150 bytes each); a fuller cache starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 # Unknown words that are encoded as one text.
 ENCODE_WORDS = 256
 
