@@ -1,8 +1,8 @@
 """Licence scan: TF-IDF cosine of lines to licence templates, and inheritance from the nearest
 licensed directory, with built-in functions only.
 
-A text is cut into lines and sentences. Terms are weighted by their document frequency over all
-files; only terms of the templates are ever counted. A line can only reach the threshold of a
+A text is cut into lines and sentences. Terms, those outside the templates too, are weighted by their
+document frequency over all files. A line can only reach the threshold of a
 template through terms that carry enough of the template's weight, so lines without any such anchor
 term are dropped before anything is exploded.
 """
@@ -74,6 +74,15 @@ def anchors(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> se
     return found
 
 
+def _frequencies(files: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``term, files``: in how many files each term is; of terms outside ``vocabulary`` only those of
+    more than one file."""
+    terms = files.select(
+        F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("files")).filter(
+        (F.col("files") > 1) | F.col("term").isin(vocabulary))
+
+
 def matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``file, license, score, share`` of the files that have a line of a template.
 
@@ -82,18 +91,14 @@ def matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     term reaches the driver.
     """
     spark = files.sparkSession
-    vocabulary = sorted({t for _, v in _vectors(templates, _flat(templates)) for t in v})
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    seen = files.select(F.array_intersect(_terms(F.coalesce("text", F.lit(""))), known).alias("t"))
-    total, *df = seen.agg(
-        F.count(F.lit(1)), *[F.count_if(F.array_contains("t", t)) for t in vocabulary]).first()
-    idf = {t: log((1 + total) / (1 + n)) + 1 for t, n in zip(vocabulary, df, strict=True)}
+    vocabulary = sorted(_flat(templates))
+    total = files.count()
+    counts = stored(_frequencies(files, vocabulary), "license-terms")
+    df = dict(counts.filter(F.col("term").isin(vocabulary)).collect())
+    idf = {t: log((1 + total) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
     vectors = _vectors(templates, idf)
     rows = [(k, name, t, w) for k, (name, v) in enumerate(vectors) for t, w in v.items()]
     weights = spark.createDataFrame(rows, "template int, license string, term string, w double")
-    # A term outside all templates is rarer than any of theirs, as far as it matters: it weighs
-    # what a term of one file would.
-    rare = log((1 + total) / 2) + 1
     pattern = r"(?i)\b(" + "|".join(sorted(anchors(vectors, threshold))) + r")\b"
     lines = files.filter(F.col("text").rlike(pattern)).select(
         "file", F.size(_terms(F.col("text"))).alias("terms"),
@@ -104,9 +109,9 @@ def matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     ).groupBy("file", "line", "term").agg(
         F.first("terms").alias("terms"), F.first("length").alias("length"),
         F.count(F.lit(1)).alias("n"))
-    table_of = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit(idf[t]))])
-    weighed = counted.withColumn(
-        "x", F.col("n") * F.coalesce(F.try_element_at(table_of, F.col("term")), F.lit(rare)))
+    # Terms without a stored count are in one file, that of their line.
+    weighed = counted.join(counts, "term", "left").withColumn(
+        "x", F.col("n") * (F.log((1.0 + total) / (1 + F.coalesce("files", F.lit(1)))) + 1))
     size = weighed.groupBy("file", "line").agg(
         F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"),
         F.first("terms").alias("terms"), F.first("length").alias("length"))

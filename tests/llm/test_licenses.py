@@ -1,3 +1,5 @@
+from math import log, sqrt
+
 from helpers import clashing
 
 from recspark.llm import licenses
@@ -41,3 +43,20 @@ def test_anchors_are_needed():
     found = licenses.anchors(vectors, 0.6)
     for _, v in vectors:
         assert sum(w * w for t, w in v.items() if t not in found) < 0.36
+
+
+def test_terms_outside_templates_weigh_by_their_files(spark):
+    """One more word in the line: a common one keeps the score high, a rare one lowers it."""
+    rows = [(k, f"d/{k}", "see project") for k in range(400)]
+    rows += [(1000, "m/a", "Released under the MIT License see"),
+             (1001, "m/b", "Released under the MIT License zyzzyva")]
+    got = {r["file"]: r["score"] for r in licenses.matches(
+        spark.createDataFrame(rows, SCHEMA)).collect()}
+
+    def idf(n):
+        return log((1 + 402) / (1 + n)) + 1
+
+    def score(n):  # five template words, each in both lines only
+        return round(5 * idf(2) ** 2 / sqrt(5) / idf(2) / sqrt(5 * idf(2) ** 2 + idf(n) ** 2), 6)
+
+    assert {k: round(v, 6) for k, v in got.items()} == {1000: score(401), 1001: score(1)}
