@@ -1,4 +1,5 @@
 from math import log, sqrt
+from textwrap import wrap
 
 from helpers import clashing
 
@@ -60,3 +61,26 @@ def test_terms_outside_templates_weigh_by_their_files(spark):
         return round(5 * idf(2) ** 2 / sqrt(5) / idf(2) / sqrt(5 * idf(2) ** 2 + idf(n) ** 2), 6)
 
     assert {k: round(v, 6) for k, v in got.items()} == {1000: score(401), 1001: score(1)}
+
+
+def test_headers_and_licence_files(spark):
+    """Wrapped headers in comments, whole licence files, and texts that only share common words."""
+    notices = {n: t for n, t in licenses.NOTICES}
+    texts = dict(licenses.LONG_TEXTS)
+
+    def header(name, width=64):
+        return "\n".join("# " + x for x in wrap(notices[name], width))
+
+    code = "\n".join(f"def name{k}(value): return value + {k}" for k in range(60))
+    rows = [(1, "a/gpl.py", "# Copyright 2020 Some One\n" + header("GPL-3.0") + "\n" + code),
+            (2, "b/isc.c", code + "\n" + header("ISC", 40)),
+            (3, "c/LICENSE", "Copyright (c) 2020\n\n" + notices["Unlicense"]),
+            (4, "d/COPYING", texts["GPL-3.0"]), (5, "e/COPYING", texts["LGPL-2.1"]),
+            (6, "f/lgpl.c", header("LGPL-3.0", 300)),
+            (7, "g/prose.txt", "The program is free for the user of the software and the author. " * 30),
+            (8, "h/bsd", header("BSD-2-Clause"))]
+    got = {r["file"]: (r["license"], r["how"]) for r in licenses.scan(
+        spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: ("GPL-3.0", "own"), 2: ("ISC", "own"), 3: ("Unlicense", "own"),
+                   4: ("GPL-3.0", "own"), 5: ("LGPL-2.1", "own"), 6: ("LGPL-3.0", "own"),
+                   7: (None, None), 8: ("BSD-2-Clause", "own")}
