@@ -36,7 +36,6 @@ POOL = 80
 THRESHOLD = 4.0
 VOCABULARY = 3500
 CANDIDATE_CAP = 500
-TRIES = 6
 
 _STORED: dict[tuple, object] = {}
 
@@ -695,7 +694,7 @@ def q_results_table(spark, d):
 
 
 def _mf(spark, d):
-    return _once(spark, d, "mf", lambda: MatrixFactorization.fit(_train(spark, d), 16, 0.1, 5))
+    return _once(spark, d, "mf", lambda: MatrixFactorization.fit(_train(spark, d)))
 
 
 def q_mf_rating_eval(spark, d):
@@ -711,7 +710,7 @@ def q_mf_candidate_top_n(spark, d):
 
 
 def _als(spark, d):
-    return _once(spark, d, "als", lambda: ImplicitALS.fit(_train(spark, d), 16, 5))
+    return _once(spark, d, "als", lambda: ImplicitALS.fit(_train(spark, d)))
 
 
 def q_implicit_als_top_n(spark, d):
@@ -725,18 +724,15 @@ def q_implicit_als_ablation(spark, d):
 
 
 def q_bpr_top_n(spark, d):
-    model = pairwise.fit_bpr(_train(spark, d), 16, n_epochs=2, hard_tries=TRIES,
-                             uniform_tries=TRIES)
-    return model.rank(_users(spark, d), TOP_N)
+    return pairwise.fit_bpr(_train(spark, d)).rank(_users(spark, d), TOP_N)
 
 
 def q_implicit_bpr_top_n(spark, d):
-    model = pairwise.fit_implicit_bpr(_train(spark, d), 16, 2)
-    return model.rank(_users(spark, d), TOP_N)
+    return pairwise.fit_implicit_bpr(_train(spark, d)).rank(_users(spark, d), TOP_N)
 
 
 def q_warp_top_n(spark, d):
-    return pairwise.fit_warp(_train(spark, d), 16, 2).rank(_users(spark, d), TOP_N)
+    return pairwise.fit_warp(_train(spark, d)).rank(_users(spark, d), TOP_N)
 
 
 def _list_check(lists: DataFrame, seen: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -788,11 +784,11 @@ def _pairwise_check(spark, d, model):
 
 
 def q_implicit_bpr_check(spark, d):
-    return _pairwise_check(spark, d, pairwise.fit_implicit_bpr(_train(spark, d), 16, 2))
+    return _pairwise_check(spark, d, pairwise.fit_implicit_bpr(_train(spark, d)))
 
 
 def q_warp_check(spark, d):
-    return _pairwise_check(spark, d, pairwise.fit_warp(_train(spark, d), 16, 2))
+    return _pairwise_check(spark, d, pairwise.fit_warp(_train(spark, d)))
 
 
 def q_experiment_users(spark, d):
