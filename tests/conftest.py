@@ -30,13 +30,3 @@ def skewed(spark):
     rows += [(5, rows[-1][1], 4.0, "dup-1"), (5, rows[-1][1], 2.0, "dup-2")]
     df = spark.createDataFrame(rows, "user_id long, item_id long, rating double, row_key string")
     return df.persist()
-
-
-def table(df, *cols):
-    """Rows as a sorted list, doubles shortened."""
-    names = cols or df.columns
-    out = [
-        tuple(round(v, 9) if isinstance(v, float) else v for v in row)
-        for row in df.select(*names).collect()
-    ]
-    return sorted(out, key=str)

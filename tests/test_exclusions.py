@@ -1,7 +1,7 @@
 """Exclusions, tied scores and exhausted draws: cases in which a prefix must not cut an answer."""
 
 import pytest
-from conftest import table
+from tables import table
 
 from recspark.models.item_cf import ItemCF
 from recspark.models.popularity import Popularity

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import table
+from tables import table
 from recspark.functions import scores
 from recspark.metrics import cold_start, explanation, fairness, rating, topn
 from recspark.operators import rerank, topk

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import table
+from tables import table
 from recspark.metrics import rating, topn
 from recspark.models import pairwise
 from recspark.models.hybrid import ContentHybrid

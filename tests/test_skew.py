@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from conftest import table
+from tables import table
 from recspark.metrics import beyond
 from recspark.models.item_cf import ItemCF
 from recspark.operators import candidates, negatives, pairs, split, stats, supports

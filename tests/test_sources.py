@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import table
+from tables import table
 from recspark.functions import text
 from recspark.models.popularity import Popularity
 from recspark.operators import split, textprofiles
