@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .divergence import MIN_DOCS, SCALE, TOP_TERMS
 from .licenses import FILE_SHARE, TEMPLATES, THRESHOLD
 
 # Words are runs of anything but ASCII white space.
@@ -172,10 +173,55 @@ LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
   ON r.doc_id = d.doc_id
 """
 
+# Terms, kept ones, shares and divergences as defined; sums in 128-bit integers.
+OP12 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+seen AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+lt AS (SELECT lang, term, count(*)::HUGEINT AS n FROM seen GROUP BY ALL
+       HAVING count(DISTINCT d) >= {MIN_DOCS}),
+lang_ AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM lt GROUP BY lang),
+gt AS (SELECT s.lang, s.source, s.term, count(*)::HUGEINT AS n
+       FROM seen s SEMI JOIN lt ON lt.lang = s.lang AND lt.term = s.term GROUP BY ALL),
+grp AS (
+  SELECT g.lang, g.source, coalesce(t.total, 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS total FROM gt GROUP BY ALL) t
+    ON t.lang = g.lang AND t.source = g.source),
+p AS (
+  SELECT g.lang, g.source, lt.term, coalesce(gt.n, 0) AS n,
+         1 + ({SCALE}::HUGEINT * (coalesce(gt.n, 0) + 1)) // (g.total + l.v) AS p,
+         1 + ({SCALE}::HUGEINT * (lt.n + 1)) // (l.total + l.v) AS q
+  FROM grp g JOIN lt ON lt.lang = g.lang JOIN lang_ l ON l.lang = g.lang
+  LEFT JOIN gt ON gt.lang = g.lang AND gt.source = g.source AND gt.term = lt.term),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce(s.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT
+  FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part
+                                ORDER BY value DESC, encode(item)))::INTEGER AS rank
+  FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked
+WHERE part = 'pair' OR rank <= {TOP_TERMS}
+"""
+
 ORACLE_SQL = {
     "op2_licenses": OP2,
     "op4_ngram_jaccard": OP4,
     "op8_exact_dedup": OP8,
     "op9_mixing": OP9,
     "op10_topk": OP10,
+    "op12_divergence": OP12,
 }

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, huffman, licenses, mixing, near_dedup, packing, quality, sharding, \
-    topk_search, toxicity
+from . import divergence, exact_dedup, huffman, licenses, mixing, near_dedup, packing, quality, \
+    sharding, topk_search, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk_search.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op12_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.audit(table(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_licenses, op3_huffman, op4_ngram_jaccard, op5_packing, op6_quality, op7_sharding,
-    op8_exact_dedup, op9_mixing, op10_topk)}
+    op8_exact_dedup, op9_mixing, op10_topk, op12_divergence)}
