@@ -173,6 +173,30 @@ LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
   ON r.doc_id = d.doc_id
 """
 
+# Anchors, positives and windows as defined, over all pairs.
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) for x in embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a, v c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+good AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT g.anchor_id, g.positive_id,
+       (row_number() OVER (PARTITION BY g.anchor_id, g.positive_id
+                           ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+       s.vec_id AS negative_id, g.positive_score, s.score AS negative_score
+FROM good g JOIN scored s ON s.anchor_id = g.anchor_id AND NOT s.same
+  AND 100 * s.score BETWEEN 30 * g.positive_score AND 90 * g.positive_score
+QUALIFY rank <= 10
+"""
+
 # Terms, kept ones, shares and divergences as defined; sums in 128-bit integers.
 OP12 = f"""
 WITH docs AS (
@@ -223,5 +247,6 @@ ORACLE_SQL = {
     "op8_exact_dedup": OP8,
     "op9_mixing": OP9,
     "op10_topk": OP10,
+    "op11_hard_negatives": OP11,
     "op12_divergence": OP12,
 }

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import divergence, exact_dedup, huffman, licenses, mixing, near_dedup, packing, quality, \
-    sharding, topk_search, toxicity
+from . import divergence, exact_dedup, hard_negatives, huffman, licenses, mixing, near_dedup, \
+    packing, quality, secrets, sharding, topk_search, toxicity
 from .common import table
 
 
@@ -58,10 +58,20 @@ def op10_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk_search.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        table(spark, d, "embeddings").withColumn("label", moved))
+
+
 def op12_divergence(spark: SparkSession, d: str) -> DataFrame:
     return divergence.audit(table(spark, d, "documents"))
 
 
+def op13_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.secrets(table(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_licenses, op3_huffman, op4_ngram_jaccard, op5_packing, op6_quality, op7_sharding,
-    op8_exact_dedup, op9_mixing, op10_topk, op12_divergence)}
+    op8_exact_dedup, op9_mixing, op10_topk, op11_hard_negatives, op12_divergence, op13_secrets)}

@@ -9,18 +9,21 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
-import numpy as np
 import tokenizers
 
-# Distinct words a worker remembers (about 150 bytes each); a fuller cache starts anew.
-CACHE_WORDS = 500_000
+# Bytes of words and ids that a generation of a worker's cache may hold, by ``ENTRY_BYTES`` above the
+# bytes of each entry. A worker keeps two generations: words that a whole one did not meet are dropped.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 140
 # Unknown words that are encoded as one text.
 ENCODE_WORDS = 256
 
-# Lower-case Latin letters, then punctuation that no contraction or special token starts with: two
-# pieces that normalisation leaves alone.
-_SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]*)([!-&(-/:;=?@\\[-`{}~]*)")
+# Lower-case Latin letters in UTF-8, then punctuation that no contraction or special token starts
+# with: two pieces that normalisation leaves alone.
+_SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
 _MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 # Byte-level models write byte b of a non-ASCII letter as one character: itself, or 256 and up in order
 # for the bytes that print nothing.
@@ -73,6 +76,13 @@ def _lowers(spec: dict) -> bool:
         s.get("type") for s in steps} <= {"NFC", "Replace", "Lowercase"}
 
 
+def _ids(values: list[int]) -> bytes:
+    ids = array("I", values)
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -87,40 +97,57 @@ class TextEncoder:
         self.lower = self.by_word and _lowers(spec) and special == special.lower() and bool(
             special.isascii())
         self.special = [t["content"].encode() for t in spec.get("added_tokens") or []]
+        self.pieces = self.tokenizer.model.tokenize
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return _ids(ids)
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.cache[word] = ids
+        self.held += len(word) + len(ids) + ENTRY_BYTES
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        odd = []
+    def _turn(self) -> None:
+        """Start a new generation when the present one is full; the one before is dropped."""
+        if self.held > CACHE_BYTES:
+            self.older, self.cache, self.held = self.cache, {}, 0
+
+    def _found(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the present generation does not hold."""
+        out, odd = {}, []
         for w in words:
-            m = _SIMPLE.fullmatch(w.decode("utf-8", "replace")) if self.lower else None
-            if m:
-                self.cache[w] = self._piece(m[1]) + self._piece(m[2])
-            else:
-                odd.append(w)
+            ids = self.older.get(w)
+            if ids is None:
+                m = _SIMPLE(w) if self.lower else None
+                if not m:
+                    odd.append(w)
+                    continue
+                letters, marks = m.groups()
+                ids = (self._piece(letters) if letters else b"") + (
+                    self._piece(marks) if marks else b"")
+            out[w] = ids
         for k in range(0, len(odd), ENCODE_WORDS):
             part = odd[k:k + ENCODE_WORDS]
             texts = [w.decode("utf-8", "replace") for w in part]
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             for w, e in zip(part, found, strict=True):
-                self.cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+                out[w] = _ids(e.ids)
+        for w, ids in out.items():
+            self._keep(w, ids)
+        return out
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, raw: bytes) -> bytes:
         """Ids of one piece, straight from the tokenizer's model."""
-        raw = piece.encode()
-        if not raw:
-            return b""
         known = self.cache.get(raw)
         if known is None:
-            if not piece.isascii():
-                piece = "".join(map(_LATIN.__getitem__, raw))
-            known = np.asarray([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
-            self.cache[raw] = known
+            known = self.older.get(raw)
+            if known is None:
+                piece = raw.decode() if raw.isascii() else "".join(map(_LATIN.__getitem__, raw))
+                known = _ids([t.id for t in self.pieces(piece)])
+            self._keep(raw, known)
         return known
 
     def encode(self, text: str | None) -> bytes:
@@ -138,9 +165,7 @@ class TextEncoder:
         words = raw.split()
         found = list(map(self.cache.get, words))
         if None in found:
-            self._learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
-            found = list(map(self.cache.get, words))
-            if None in found:  # the cache started anew in between
-                self._learn(list(set(words)))
-                found = [self.cache[w] for w in words]
+            new = self._found(list({w for w, f in zip(words, found, strict=True) if f is None}))
+            found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            self._turn()
         return b"".join(found)
