@@ -222,6 +222,42 @@ def q_stored_model(spark, d):
     return changed("user_factors", "user_id").unionByName(changed("item_factors", "item_id"))
 
 
+def q_stored_versions(spark, d):
+    """A model stored twice, and once more by a writer that stops between two tables: the versions
+    there are, and whether the latest complete one is read."""
+    root = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    train = _train(spark, d)
+    place = (root, "run", "Popularity")
+    artifacts.save_model(Popularity.fit(_test(spark, d)), *place)
+    whole = Popularity.fit(train)
+    artifacts.save_model(whole, *place)
+
+    class Stopped(Popularity):
+        def tables(self):
+            broken = self.seen.select(F.raise_error(F.lit("stopped")).cast("string").alias("x"))
+            return {"order": self.order, "seen": broken}
+
+    try:
+        artifacts.save_model(Stopped.fit(_test(spark, d)), *place)
+    except Exception as err:  # the planned stop, and nothing else
+        if "stopped" not in str(err):
+            raise
+    again = artifacts.load_model(spark, Popularity, *place)
+    versions = artifacts.model_versions(spark, *place).agg(F.count(F.lit(1)).alias("versions"))
+    same = again.order.select("item_id", "n_ratings").join(
+        whole.order.select("item_id", F.col("n_ratings").alias("n")), "item_id", "full")
+    return versions.crossJoin(same.agg(
+        F.count(F.lit(1)).alias("items"),
+        F.count_if(~F.col("n_ratings").eqNullSafe(F.col("n"))).alias("changed")))
+
+
+def q_grown_index(spark, d):
+    """The index of the best rated items, grown by all others: old numbers stay, new ones follow."""
+    train = _train(spark, d)
+    known = split.id_index(train.filter(F.col("rating") >= 5.0), "item_id", "item_idx")
+    return split.grow_index(known, train, "item_id", "item_idx")
+
+
 def q_eligible_users(spark, d):
     return split.eligible_users(_train(spark, d), _test(spark, d), 20, 5)
 

@@ -1,38 +1,62 @@
-"""Top-N by inner product over a whole catalogue, block by block."""
+"""Top-N by inner product over a whole catalogue, with blocks left out that cannot reach a list.
+
+Items are ordered by the length of their vectors and cut into blocks; users lie in blocks of their
+own. Every user block first meets the block of the longest items, which gives each user a floor: the
+score of the last place of the list so far. A score is at most the product of both lengths, so a later
+item block meets a user block only if that product reaches the floor of one of its users, and inside
+only those users are multiplied.
+
+Floors and lists use scores in one defined order of summation, rounded to ``SCORE_DIGITS``; the blocks
+they are found in do not affect them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.topk import SCORE_DIGITS
+from ..skew import durable, global_position
 
 USER_BLOCK = 1024
 ITEM_BLOCK = 8192
 # Bytes of item vectors that are sent to every task at once.
 BROADCAST_BYTES = 64 << 20
+# Scores within this of a floor are looked at: more than rounding and the order of a sum can make.
+SLACK = 1e-7
 
 
 def _block(key: str, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def _length(vec: Column) -> Column:
+    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def _packed(factors: DataFrame, id_col: str, name: str) -> DataFrame:
-    """One row per block: ids and their vectors laid end to end (blocks have a bounded size)."""
-    entry = F.struct(F.col(id_col).alias("id"), F.col("features").cast("array<float>").alias("f"))
-    grouped = factors.groupBy(name).agg(F.collect_list(entry).alias("_e"))
+    """One row per block: ids, vectors laid end to end, and lengths (blocks have a bounded size)."""
+    entry = F.struct(F.col(id_col).alias("id"), F.col("features").alias("f"), F.col("size"))
+    grouped = factors.groupBy(name).agg(
+        F.collect_list(entry).alias("_e"), F.max("size").alias(f"{name}_top"))
     return grouped.select(
         name,
         F.transform("_e", lambda e: e["id"]).alias(f"{name}_ids"),
         F.flatten(F.transform("_e", lambda e: e["f"])).alias(f"{name}_vec"),
+        F.transform("_e", lambda e: e["size"]).alias(f"{name}_size"),
+        f"{name}_top",
     )
 
 
-def _pairs_of_block(pairs: DataFrame, name: str) -> DataFrame:
-    grouped = pairs.groupBy("ub").agg(F.collect_list(F.struct("user_id", "item_id")).alias("_p"))
+def _by_blocks(pairs: DataFrame, places: DataFrame, n_u: int, name: str) -> DataFrame:
+    """(user, item) pairs by the two blocks that meet over them; pairs without a factor drop out."""
+    placed = pairs.join(places, "item_id").withColumn("ub", _block("user_id", n_u))
+    grouped = placed.groupBy("ub", "ib").agg(F.collect_list(F.struct("user_id", "item_id")).alias("_p"))
     return grouped.select(
-        "ub",
+        "ub", "ib",
         F.transform("_p", lambda p: p["user_id"]).alias(f"{name}_users"),
         F.transform("_p", lambda p: p["item_id"]).alias(f"{name}_items"),
     )
@@ -46,30 +70,51 @@ def _mark(mask: np.ndarray, users: pd.Index, items: pd.Index, us, its, value: bo
     mask[r[ok], c[ok]] = value
 
 
+def best_of_block(u: np.ndarray, v: np.ndarray, allowed: np.ndarray, item_ids: np.ndarray, n: int,
+                  floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``rows, columns, scores`` of the best ``n`` allowed items per user that reach the user's floor,
+    by user, score and item id."""
+    rough = np.where(allowed, u @ v.T, -np.inf)
+    k = min(n, rough.shape[1])
+    last = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
+    rows, cols = np.nonzero((rough >= np.maximum(last, floors)[:, None] - SLACK) & np.isfinite(rough))
+    # The sum of a pair has one order here, whatever the shapes of the blocks.
+    scores = np.round(np.einsum("nk,nk->n", u[rows], v[cols]), SCORE_DIGITS)
+    order = np.lexsort((item_ids[cols], -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    keep = (place < n) & (scores >= floors[rows])
+    return rows[keep], cols[keep], scores[keep]
+
+
 def _kernel(n: int, restricted: bool):
-    def score_blocks(batches):
+    """Lists of a user block from one item block, and the floors they give."""
+    def score_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 users, items = pd.Index(row.ub_ids), pd.Index(row.ib_ids)
                 u = np.asarray(row.ub_vec, dtype=np.float64).reshape(len(users), -1)
                 v = np.asarray(row.ib_vec, dtype=np.float64).reshape(len(items), -1)
+                floors = np.asarray(row.floors, dtype=np.float64)
                 allowed = np.full((len(users), len(items)), not restricted)
                 if restricted:
                     _mark(allowed, users, items, row.cand_users, row.cand_items, True)
                 _mark(allowed, users, items, row.seen_users, row.seen_items, False)
-                scores = np.where(allowed, np.round(u @ v.T, SCORE_DIGITS), -np.inf)
-                order = np.argsort(items.to_numpy(), kind="stable")
-                scores, ids = scores[:, order], items.to_numpy()[order]
-                k = min(n, len(ids))
-                floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                rows, cols = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-                out = pd.DataFrame(
-                    {"user_id": users.to_numpy()[rows], "item_id": ids[cols],
-                     "score": scores[rows, cols]}
-                )
-                # Items are in id order, so a stable sort leaves ties by item id.
-                out = out.sort_values(["score"], ascending=False, kind="stable")
-                yield out.groupby("user_id", sort=False).head(n)
+                reach = np.flatnonzero(
+                    np.asarray(row.ub_size) * row.ib_top + SLACK >= floors)
+                r, c, s = best_of_block(u[reach], v, allowed[reach], items.to_numpy(), n,
+                                        floors[reach])
+                r = reach[r]
+                count = np.bincount(r, minlength=len(users))
+                full = count >= n
+                ends = np.cumsum(count)
+                new = np.full(len(users), -np.inf)
+                new[full] = s[ends[full] - 1]
+                yield pd.DataFrame({
+                    "ub": [row.ub], "floors": [new.tolist()],
+                    "user_id": [users.to_numpy()[r].tolist()],
+                    "item_id": [items.to_numpy()[c].tolist()], "score": [s.tolist()]})
 
     return score_blocks
 
@@ -83,39 +128,72 @@ def top_items(
     user_block: int = USER_BLOCK,
     item_block: int = ITEM_BLOCK,
     broadcast_bytes: int = BROADCAST_BYTES,
+    observe: Callable[[int, int], None] | None = None,
 ) -> DataFrame:
     """Best ``n`` items per user and item block by inner product, seen items left out.
 
-    Users stay where they are, in blocks with the pairs they have seen. The catalogue comes to them
-    in chunks of blocks that are counted to be at most ``broadcast_bytes``; a visit of a user block
-    by an item block multiplies two small matrices in NumPy and returns ``n`` items per user. With
-    ``candidates`` only those (user, item) pairs compete. Cut the result once more per user to get
-    the final list.
+    Users stay where they are; the catalogue comes to them in chunks of blocks counted to be at most
+    ``broadcast_bytes``, block pairs out of reach are dropped before they meet, and pairs to leave out
+    travel by user and item block. With ``candidates`` only those (user, item) pairs compete. Cut the
+    result once more per user to get the final list. ``observe`` is told how many pairs of blocks met
+    and how many there are.
     """
     spark = user_factors.sparkSession
+    single = F.col("features").cast("array<float>")
+    user_factors, item_factors = (f.withColumn("features", single)
+                                  for f in (user_factors, item_factors))
     n_users, n_items = user_factors.count(), item_factors.count()
     n_u, n_i = max(1, -(-n_users // user_block)), max(1, -(-n_items // item_block))
     parts = min(n_u, max(4 * spark.sparkContext.defaultParallelism,
                          int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-    def by_block(df: DataFrame) -> DataFrame:
-        return df.withColumn("ub", _block("user_id", n_u)).repartition(parts, "ub")
-
-    tasks = _packed(by_block(user_factors), "user_id", "ub").join(
-        _pairs_of_block(by_block(seen), "seen"), "ub", "left")
+    sized = item_factors.withColumn("size", _length(F.col("features")))
+    items = durable(global_position(
+        sized, [F.col("size").desc(), F.col("item_id")], "pos", start=0
+    ).withColumn("ib", F.floor(F.col("pos") / item_block).cast("int")).select(
+        "item_id", "features", "size", "ib"))
+    users = durable(_packed(
+        user_factors.withColumn("size", _length(F.col("features"))).withColumn(
+            "ub", _block("user_id", n_u)).repartition(parts, "ub"), "user_id", "ub"))
+    places = items.select("item_id", "ib")
+    barred = _by_blocks(seen, places, n_u, "seen")
     if candidates is not None:
-        tasks = tasks.join(_pairs_of_block(by_block(candidates), "cand"), "ub", "left")
-    width = item_factors.select(F.max(F.size("features"))).first()[0] or 1
-    per_chunk = max(1, broadcast_bytes // (item_block * (4 * width + 8)))
-    coded = item_factors.withColumn("ib", _block("item_id", n_i))
+        barred = barred.join(_by_blocks(candidates, places, n_u, "cand"), ["ub", "ib"], "full")
+    barred = durable(barred)
     fields = {f.name: f.dataType.simpleString() for f in user_factors.schema.fields}
     item_type = {f.name: f.dataType.simpleString() for f in item_factors.schema.fields}["item_id"]
-    schema = f"user_id {fields['user_id']}, item_id {item_type}, score double"
-    found = None
-    for first in range(0, n_i, per_chunk):
-        inside = coded.filter(F.col("ib").between(first, first + per_chunk - 1))
-        chunk = _packed(inside, "item_id", "ib").withColumn("chunk", F.lit(first))
-        met = tasks.withColumn("chunk", F.lit(first)).join(F.broadcast(chunk), "chunk")
-        best = met.drop("chunk").mapInPandas(_kernel(n, candidates is not None), schema)
-        found = best if found is None else found.unionByName(best)
-    return found
+    schema = (f"ub int, floors array<double>, user_id array<{fields['user_id']}>, "
+              f"item_id array<{item_type}>, score array<double>")
+    blocks = _packed(items, "item_id", "ib")
+
+    def searched(pairs: DataFrame, some_users: DataFrame, some_blocks: DataFrame) -> DataFrame:
+        met = pairs.join(barred, ["ub", "ib"], "left").join(some_users, "ub").join(
+            F.broadcast(some_blocks), "ib")
+        return durable(met.mapInPandas(_kernel(n, candidates is not None), schema))
+
+    none = F.lit(float("-inf"))
+    first = searched(
+        users.select("ub", F.lit(0).alias("ib")),
+        users.withColumn("floors", F.transform("ub_size", lambda x: none)),
+        blocks.filter(F.col("ib") == 0))
+    found = first
+    if n_i > 1:
+        later = users.join(first.select("ub", "floors"), "ub")
+        # The shortest item vector that could still reach a list of the block.
+        reach = F.array_min(F.zip_with("floors", "ub_size", lambda f, s: F.when(
+            f - SLACK <= 0, F.lit(0.0)).when(s > 0, (f - SLACK) / s).otherwise(F.lit(float("inf")))))
+        ranges = items.groupBy("ib").agg(F.max("size").alias("top")).filter(F.col("ib") > 0)
+        pairs = durable(later.select("ub", reach.alias("reach")).join(
+            ranges, F.col("top") * (1 + SLACK) >= F.col("reach")).select("ub", "ib"))
+        width = item_factors.select(F.max(F.size("features"))).first()[0] or 1
+        per_chunk = max(1, broadcast_bytes // (item_block * (4 * width + 16)))
+        for start in range(1, n_i, per_chunk):
+            inside = F.col("ib").between(start, start + per_chunk - 1)
+            if pairs.filter(inside).take(1):
+                found = found.unionByName(searched(
+                    pairs.filter(inside), later, blocks.filter(inside)))
+        if observe:
+            observe(n_u + pairs.count(), n_u * n_i)
+    elif observe:
+        observe(n_u, n_u)
+    return found.select(F.explode(F.arrays_zip("user_id", "item_id", "score")).alias("e")).select(
+        "e.user_id", "e.item_id", "e.score")

@@ -92,3 +92,13 @@ def id_index(df: DataFrame, id_col: str, idx_col: str, durable_copy: bool = Fals
     ids = df.select(id_col).distinct()
     index = global_position(ids, [F.col(id_col)], idx_col, start=0)
     return durable(index) if durable_copy else index
+
+
+def grow_index(index: DataFrame, df: DataFrame, id_col: str, idx_col: str) -> DataFrame:
+    """``index`` with the new ids of ``df`` appended: known ids keep their numbers, new ones follow
+    the largest number in id order. An empty index starts at 0; ids that are null get no number."""
+    new = df.select(id_col).filter(F.col(id_col).isNotNull()).distinct().join(
+        index.select(id_col), id_col, "left_anti")
+    last = index.agg(F.max(idx_col)).first()[0]
+    added = global_position(new, [F.col(id_col)], idx_col, start=0 if last is None else last + 1)
+    return index.select(id_col, F.col(idx_col).cast("long").alias(idx_col)).unionByName(added)

@@ -111,21 +111,20 @@ def global_position(
 ) -> DataFrame:
     """Contiguous positions ``start, start+1, …`` over the whole table in the given total order.
 
-    A table of checked size up to ``limit`` is numbered by one window. A larger one is range
-    partitioned, stored durably (range boundaries are sampled, so they must not be drawn twice) and
-    numbered per partition plus the rows of the partitions before it.
+    The table is stored. One of checked size up to ``limit`` is numbered by one window. A larger one is
+    range partitioned, stored again (range boundaries are sampled, so they must not be drawn twice) and
+    numbered per partition plus the rows of the partitions before it. Positions are long at any size.
     """
     spark = df.sparkSession
-    df = df.persist()
+    df = durable(df)
     if df.count() <= limit:
         return df.withColumn(
-            name, (F.row_number().over(W.orderBy(*order)) + F.lit(start - 1)).cast("int")
+            name, (F.row_number().over(W.orderBy(*order)) + F.lit(start - 1)).cast("long")
         )
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     placed = durable(
         df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     )
-    df.unpersist()
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = sizes.select(
         "_part", (F.sum("_rows").over(W.orderBy("_part")) - F.col("_rows")).alias("_offset")

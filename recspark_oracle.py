@@ -605,6 +605,12 @@ ORACLE_SQL: dict[str, str] = {
         (SELECT count(*) FROM test JOIN keep USING (user_id)) AS test_rows""",
     "id_index": f"""WITH {_STATS} SELECT item_id, row_number() OVER (ORDER BY item_id) - 1
         AS item_idx FROM istats""",
+    "grown_index": f"""WITH {_STATS}, known AS (
+        SELECT DISTINCT item_id, 0 AS late FROM train WHERE rating >= 5.0)
+        SELECT item_id, row_number() OVER (ORDER BY coalesce(late, 1), item_id) - 1 AS item_idx
+        FROM istats LEFT JOIN known USING (item_id)""",
+    "stored_versions": f"""WITH {_STATS} SELECT 2 AS versions, count(*) AS items, 0 AS changed
+        FROM istats""",
     "dataset_profile": f"""WITH {_INTER} SELECT count(DISTINCT user_id) AS n_users,
         count(DISTINCT item_id) AS n_items, count(*) AS n_interactions,
         round(1.0 - count(*) / (count(DISTINCT user_id) * CAST(count(DISTINCT item_id) AS DOUBLE)), 9)

@@ -1,4 +1,4 @@
-"""Learned models on planted data, and the scoring kernel against NumPy."""
+"""Learned models on planted data; pairwise models and scoring have files of their own."""
 
 import numpy as np
 import pytest
@@ -6,15 +6,12 @@ from pyspark.sql import functions as F
 
 from tables import table
 from recspark.metrics import rating, topn
-from recspark.models import pairwise
 from recspark.models.hybrid import ContentHybrid
 from recspark.models.implicit_als import ImplicitALS
 from recspark.models.mf import MatrixFactorization
 from recspark.models.popularity import Popularity
 from recspark.models.registry import RANKERS, fit_ranker
-from recspark.models.scoring import top_items
 from recspark.operators import split
-from recspark.operators.topk import rank_by_score
 
 
 @pytest.fixture(scope="module")
@@ -63,26 +60,6 @@ def test_implicit_als_beats_popularity(planted, popularity_ndcg):
     assert _ndcg(ImplicitALS.fit(planted[0], 8, 8, 0.05), planted) > 1.3 * popularity_ndcg
 
 
-def test_warp_beats_popularity(planted, popularity_ndcg):
-    model = pairwise.fit_warp(planted[0], 8, 8, 0.05, rows_per_block=2000, batch=256)
-    assert _ndcg(model, planted) > 1.2 * popularity_ndcg
-
-
-def test_bpr_beats_popularity(planted, popularity_ndcg):
-    model = pairwise.fit_implicit_bpr(planted[0], 8, 10, 0.05, 0.001, batch=256)
-    assert _ndcg(model, planted) > 1.2 * popularity_ndcg
-
-
-def test_training_is_repeatable_and_splits_busy_users(planted):
-    train = planted[0]
-    a = pairwise.fit_warp(train, 4, 1, batch=64, rows_per_block=5)
-    b = pairwise.fit_warp(train.repartition(7), 4, 1, batch=64, rows_per_block=5)
-    vec = lambda m: {r["user_id"]: np.array(r["features"])
-                     for r in m.user_factors.collect()}
-    x, y = vec(a), vec(b)
-    assert all(np.allclose(x[u], y[u], atol=1e-6) for u in x)
-
-
 def test_ablation(spark, planted):
     train, _ = planted
     model = ImplicitALS.fit(train, 8, 5, 0.05)
@@ -116,29 +93,6 @@ def test_fold_in_gives_back_trained_factors_and_adds_up_in_parts(planted):
     assert np.mean(cos) > 0.98
 
 
-@pytest.mark.parametrize("restricted", [False, True])
-def test_block_scoring(spark, restricted):
-    rng = np.random.default_rng(1)
-    u, v = rng.integers(-3, 4, (25, 3)), rng.integers(-3, 4, (40, 3))
-    uf = spark.createDataFrame([(f"u{i:02d}", [float(x) for x in r]) for i, r in enumerate(u)],
-                               "user_id string, features array<double>")
-    vf = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)],
-                               "item_id long, features array<double>")
-    seen = {(f"u{a:02d}", int(b)) for a, b in zip(*np.nonzero(rng.random((25, 40)) < 0.3))}
-    cand = {(f"u{a:02d}", int(b)) for a, b in zip(*np.nonzero(rng.random((25, 40)) < 0.4))}
-    pair = "user_id string, item_id long"
-    got = rank_by_score(top_items(
-        uf, vf, 5, spark.createDataFrame(sorted(seen), pair),
-        spark.createDataFrame(sorted(cand), pair) if restricted else None, 7, 11), 5)
-    want = []
-    for a in range(25):
-        ok = [b for b in range(40) if (f"u{a:02d}", b) not in seen
-              and (not restricted or (f"u{a:02d}", b) in cand)]
-        best = sorted(ok, key=lambda b: (-int(u[a] @ v[b]), b))[:5]
-        want += [(f"u{a:02d}", b, k) for k, b in enumerate(best, 1)]
-    assert table(got, "user_id", "item_id", "rank") == sorted(want, key=str)
-
-
 class _Text:
     def score(self, pool):
         return pool.select("user_id", "item_id", (F.col("item_id") % 10 / 10).alias("text_sim"))

@@ -144,3 +144,19 @@ def test_negatives_are_never_positives(spark, skewed):
                           ["user_id", "neg_item_id"], "left_semi")
         assert hits.count() == 0
         assert drawn.count() == pos.count()
+
+
+def test_a_grown_index_keeps_its_numbers(spark, skewed):
+    first = skewed.filter("item_id % 3 = 0")
+    index = split.id_index(first, "item_id", "item_idx")
+    whole = split.grow_index(index, skewed, "item_id", "item_idx")
+    old, new = (dict(table(x, "item_id", "item_idx")) for x in (index, whole))
+    assert {k: new[k] for k in old} == old
+    later = sorted(k for k in new if k not in old)
+    assert [new[k] for k in later] == list(range(len(old), len(new)))
+    assert set(new) == {r["item_id"] for r in skewed.collect()}
+    again = split.grow_index(whole, first, "item_id", "item_idx")
+    assert dict(table(again, "item_id", "item_idx")) == new
+    empty = index.filter("item_idx < 0")
+    assert dict(table(split.grow_index(empty, first, "item_id", "item_idx"))) == old
+    assert [f.dataType.typeName() for f in whole.schema.fields if f.name == "item_idx"] == ["long"]

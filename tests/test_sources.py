@@ -108,6 +108,37 @@ def test_fit_or_load(spark, skewed, tmp_path):
         artifacts.fit_or_load(spark, Popularity, fit, str(tmp_path), "exp", "none", eval_only=True)
 
 
+def test_a_writer_that_stops_leaves_the_last_version(spark, skewed, tmp_path):
+    place = (str(tmp_path), "exp", "pop")
+    whole = Popularity.fit(skewed)
+    artifacts.save_model(whole, *place)
+
+    class Stopped(Popularity):
+        def tables(self):
+            broken = self.seen.select(F.raise_error(F.lit("stopped")).cast("string").alias("x"))
+            return {"order": self.order.limit(1), "seen": broken}
+
+    with pytest.raises(Exception, match="stopped"):
+        artifacts.save_model(Stopped.fit(skewed), *place)
+    again = artifacts.load_model(spark, Popularity, *place)
+    assert table(again.order) == table(whole.order)
+    assert artifacts.model_versions(spark, *place).count() == 1
+
+
+def test_versions_are_kept_and_the_latest_is_read(spark, skewed, tmp_path):
+    place = (str(tmp_path), "exp", "pop")
+    assert not artifacts.has_model(spark, *place)
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_model(spark, Popularity, *place)
+    part = Popularity.fit(skewed.filter("user_id < 10"))
+    first = artifacts.save_model(part, *place).rsplit("/", 1)[1]
+    artifacts.save_model(Popularity.fit(skewed), *place)
+    assert artifacts.model_versions(spark, *place).count() == 2
+    old = artifacts.load_model(spark, Popularity, *place, version=first)
+    new = artifacts.load_model(spark, Popularity, *place)
+    assert table(old.order) == table(part.order) != table(new.order)
+
+
 def test_unknown_user_and_item(spark, skewed):
     model = Popularity.fit(skewed)
     stranger = spark.createDataFrame([(999,)], "user_id long")
