@@ -9,6 +9,7 @@ their rank among the pieces of their length, without moving them.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -306,14 +307,77 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return whole.mapInArrow(_placed(plan), out)
 
 
+_LISTS = {"doc_ids": pa.int64(), "pieces": pa.int32(), "starts": pa.int64(), "lengths": pa.int64(),
+          "offsets": pa.int64()}
+_SEQUENCES = pa.schema([("sequence_id", pa.int64()), ("length", pa.int64()),
+                        *[(c, pa.list_(t)) for c, t in _LISTS.items()], ("ids", pa.binary())])
+SEQUENCES = ("sequence_id long, length long, doc_ids array<long>, pieces array<int>, "
+             "starts array<long>, lengths array<long>, offsets array<long>, ids binary")
+
+
+def _assembled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces sorted by (sequence_id, offset) to one row per sequence, ids end to end."""
+    done: list[tuple] = []
+    held: list[tuple] = []
+    size = 0
+
+    def close() -> None:
+        columns = list(zip(*[h[1:] for h in held], strict=True))
+        done.append((held[0][0], sum(columns[3]), *map(list, columns[:5]), b"".join(columns[5])))
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(zip(*done), _SEQUENCES.types, strict=True)],
+            schema=_SEQUENCES)
+
+    for batch in stream:
+        for row in zip(*[batch.column(c).to_pylist() for c in (
+                "sequence_id", "doc_id", "piece", "start", "length", "offset", "ids")], strict=True):
+            if held and row[0] != held[0][0]:
+                close()
+                size += len(done[-1][-1])
+                held = []
+                if size > OUTPUT_BYTES:
+                    yield made()
+                    done, size = [], 0
+            held.append(row)
+    if held:
+        close()
+    if done:
+        yield made()
+
+
 def packed_sequences(placed: DataFrame) -> DataFrame:
-    """Whole sequences: ``sequence_id, length, doc_ids, ids`` with the pieces' ids end to end.
+    """Whole sequences: ``sequence_id, length, doc_ids, pieces, starts, lengths, offsets, ids`` with
+    the pieces in their places and the ids end to end. A sequence holds at most ``capacity`` pieces."""
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, "sequence_id").sortWithinPartitions(
+        "sequence_id", "offset").mapInArrow(_assembled, SEQUENCES)
 
-    A sequence holds at most ``capacity`` pieces, so its list is bounded.
-    """
-    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
-    return placed.groupBy("sequence_id").agg(parts.alias("p")).select(
-        "sequence_id",
-        F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"),
-        F.col("p.doc_id").alias("doc_ids"),
-        F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+
+def _taken_apart(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in stream:
+        for r in batch.to_pylist():
+            raw, n = memoryview(r["ids"]), len(r["doc_ids"])
+            digests = [zlib.crc32(raw[4 * at:4 * (at + size)])
+                       for at, size in zip(r["offsets"], r["lengths"], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r["doc_ids"], pa.int64()), pa.array(r["pieces"], pa.int32()),
+                 pa.array(r["starts"], pa.int64()), pa.array(r["lengths"], pa.int64()),
+                 pa.array(digests, pa.int64()), pa.array([r["sequence_id"]] * n, pa.int64()),
+                 pa.array(r["offsets"], pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+
+def sequence_contents(sequences: DataFrame) -> DataFrame:
+    """What whole sequences hold, read back from their ids: ``doc_id, piece, start, length,
+    ids_crc32, sequence_id, offset`` of every piece, the digest taken at the piece's place."""
+    return sequences.mapInArrow(
+        _taken_apart, "doc_id long, piece int, start long, length long, ids_crc32 long, "
+        "sequence_id long, offset long")
+
+
+def packed_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json",
+                  capacity: int = CAPACITY) -> DataFrame:
+    """Encode, pack and lay out every text; the contents of the sequences."""
+    return sequence_contents(packed_sequences(pack(pieces(docs, vocabulary, capacity), capacity)))

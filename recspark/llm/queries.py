@@ -32,7 +32,7 @@ def op4_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_digest(packing.pieces(table(spark, d, "documents"))))
+    return packing.packed_pieces(table(spark, d, "documents"))
 
 
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:

@@ -27,7 +27,7 @@ def test_words_have_the_ids_of_whole_texts():
 
 
 def test_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1000)
     e = tokens.TextEncoder(tokens.public_path(NAME))
     for t in ("a b c d e f g h", "h i j k", "a b c d e f g h i j k l m n, o. p!"):
         assert e.encode(t) == e._plain(t)
@@ -106,9 +106,31 @@ def test_pieces_and_packing(spark):
     whole = packing.packed_sequences(spark.createDataFrame(got)).collect()
     assert sum(w["length"] for w in whole) == total
     assert all(len(w["ids"]) == 4 * w["length"] for w in whole)
+    back = packing.sequence_contents(packing.packed_sequences(spark.createDataFrame(got))).collect()
+    place = ("doc_id", "piece", "start", "length", "sequence_id", "offset")
+    assert sorted((*[r[c] for c in place], r["ids_crc32"]) for r in back if r["doc_id"] is not None
+                  ) == sorted((*[r[c] for c in place], crc(bytes(r["ids"]))) for r in got
+                              if r["doc_id"] is not None)
+    assert len(back) == len(got)
     assert packing.pack(packing.pieces(frame(spark, []))).collect() == []
 
 
+def test_the_word_cache_keeps_what_is_in_use(monkeypatch):
+    """Two small generations: ids stay those of whole texts, and frequent words are learned once."""
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 40_000)
+    enc = tokens.TextEncoder(tokens.public_path("word_bpe_49k.json"))
+    learned = []
+    find = enc._found
+    enc._found = lambda words: learned.extend(w for w in words if w not in enc.older) or find(words)
+    rng = np.random.default_rng(5)
+    for k in range(120):
+        rare = " ".join("".join(rng.choice(list("abcdefgß"), 9)) + "," for _ in range(30))
+        text = f"the often Seen words, aren't {rare} Größe naïve (x) 12ab e\u0301"
+        assert enc.encode(text) == enc._plain(text)
+    assert learned.count(b"often") == 1 and enc.held <= 41_000 + 140 * 100
+    assert len(enc.older) and len(learned) > 3000
+
+
 def histogram(lengths):
     return {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True))}
 
