@@ -1,5 +1,6 @@
 """K-d tree sharding by bytes, with built-in functions only.
 
+Coordinates are the places of source and language among their distinct values, the size and the id.
 A node of the tree holds a run of shards. It is cut along the metadata dimension in which its rows
 are widest, at the weighted median (in proportion to the shards on either side), until a leaf is one
 shard. Medians come from sums of bytes by (node, bucket): the bucket in which the wanted weight is
@@ -13,6 +14,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..skew import global_position
 from .common import stored
 
 # Bits of a row's place along the cut dimension that one pass over the rows resolves, and in all:
@@ -25,10 +27,11 @@ TOLERANCE = 0.002
 SLOT_ROWS = 20_000
 
 
-def _code(c: Column) -> Column:
-    """A number that orders strings by their first six bytes."""
-    head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _ranks(groups: DataFrame, name: str) -> DataFrame:
+    """Places of the distinct values of a column in their order, from 1."""
+    values = groups.select(name).filter(F.col(name).isNotNull()).distinct()
+    return global_position(values, [F.col(name)], f"d_{name}").select(
+        name, F.col(f"d_{name}").cast("double").alias(f"d_{name}"))
 
 
 def _metadata(docs: DataFrame) -> DataFrame:
@@ -43,9 +46,11 @@ def _metadata(docs: DataFrame) -> DataFrame:
     )
     rows = stored(rows, "shard-rows")
     groups = rows.groupBy("text_hash", "size").agg(
-        _code(F.min("source")).alias("d_source"), _code(F.min("lang")).alias("d_lang"),
+        F.min("source").alias("source"), F.min("lang").alias("lang"),
         F.min("doc_id").cast("double").alias("d_id"),
     ).withColumn("d_size", F.log2(F.col("size").cast("double")))
+    for name in ("source", "lang"):
+        groups = groups.join(_ranks(rows, name), name, "left").drop(name)
     return stored(
         rows.drop("source", "lang").join(groups, ["text_hash", "size"])
         .withColumn("row_hash", F.xxhash64("doc_id", "text_hash", F.lit("row"))),
