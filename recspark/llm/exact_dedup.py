@@ -3,9 +3,13 @@
 Rows are first collapsed where they lie: each task inserts the full byte strings of its rows into a
 compressed radix trie whose terminals keep one owner and a count. What is left, one row per distinct
 text and task, is shuffled by (length, content hash), sorted by that key and collapsed the same way.
-A group of copies of any size thus reaches its owner as one row per task. A trie whose texts exceed
-``TRIE_BYTES`` gives up its finished subtrees: on the map side everything it has (the second pass
-merges them), on the reduce side every key before the current one, which cannot come again.
+A group of copies of any size thus reaches its owner as few rows per task.
+
+A trie whose texts exceed ``TRIE_BYTES`` spills by subtree, the heaviest first, until half is free. On
+the map side terminals that met a copy stay, as far as they fit, and go on absorbing copies; the second
+pass merges what was spilled. On the reduce side keys come sorted, so all subtrees are finished once
+the key changes. Rows are held for owners only: rows that lost their place, and copies, are dropped
+when they outweigh the trie, so a text that comes back from every task costs its owner's row.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import slices
 
-# Bytes of text that a task's trie may hold before finished subtrees are given up.
+# Bytes of text that a task's trie may hold before it spills subtrees.
 TRIE_BYTES = 12 << 20
 
 
@@ -43,11 +47,46 @@ def _shared(a: bytes, b: bytes, at: int) -> int:
 
 
 class PatriciaTrie:
-    """Compressed radix trie over byte strings; a terminal node keeps ``[id, count, place]``."""
+    """Compressed radix trie over byte strings; a terminal node keeps ``[id, count, place, size]``."""
 
     def __init__(self):
         self.root = _Node(b"")
-        self.terminals: list[_Node] = []
+        self.size = 0  # bytes of all texts
+
+    @staticmethod
+    def below(node: _Node) -> list[_Node]:
+        """Terminal nodes of a subtree."""
+        found, todo = [], [node]
+        while todo:
+            node = todo.pop()
+            if node.owner is not None:
+                found.append(node)
+            todo.extend(node.kids.values())
+        return found
+
+    @property
+    def terminals(self) -> list[_Node]:
+        return self.below(self.root)
+
+    def cut(self) -> list[list]:
+        """Take the heaviest subtree off the topmost fork; the owners it held, with their keys."""
+        top, key = self.root, b""
+        while top.owner is None and len(top.kids) == 1:
+            (top,) = top.kids.values()
+            key += top.label
+        weights = {b: sum(t.owner[3] for t in self.below(kid)) for b, kid in top.kids.items()}
+        if not weights:  # the only text
+            owners, self.root, self.size = [[key, *top.owner]], _Node(b""), 0
+            return owners
+        kid = top.kids.pop(max(weights, key=weights.get))
+        self.size -= max(weights.values())
+        found, todo = [], [(kid, key + kid.label)]
+        while todo:
+            node, at = todo.pop()
+            if node.owner is not None:
+                found.append([at, *node.owner])
+            todo.extend((k, at + k.label) for k in node.kids.values())
+        return found
 
     def terminal(self, key: bytes) -> _Node:
         node, at = self.root, 0
@@ -72,8 +111,8 @@ class PatriciaTrie:
         """Count the row and let it own its text if its id is better; ids that are null lose."""
         node = self.terminal(key)
         if node.owner is None:
-            node.owner = [row_id, count, place]
-            self.terminals.append(node)
+            node.owner = [row_id, count, place, len(key)]
+            self.size += len(key)
             return
         own = node.owner
         own[1] += count
@@ -86,41 +125,74 @@ class PatriciaTrie:
 def _collapse(largest: bool, sorted_keys: bool):
     """Rows with ``_id, _text, _key, _n`` in, owners with their groups' counts out."""
 
+    def rows_of(held: list[pa.RecordBatch], found: list) -> Iterator[pa.RecordBatch]:
+        """Rows of owners ``(place, count)``, batch by batch."""
+        by_batch: dict[int, list] = {}
+        for (b, r), n in found:
+            by_batch.setdefault(b, []).append((r, n))
+        for b, rows in sorted(by_batch.items()):
+            rows.sort()
+            out = held[b].take(pa.array([r for r, _ in rows], pa.int64()))
+            at = out.schema.get_field_index("_n")
+            yield out.set_column(at, out.schema.field(at), pa.array([n for _, n in rows], pa.int64()))
+
+    def kept(held: list[pa.RecordBatch], trie: PatriciaTrie) -> list[pa.RecordBatch]:
+        """The rows of the trie's owners alone, their places brought up to date."""
+        by_batch: dict[int, list] = {}
+        for t in trie.terminals:
+            by_batch.setdefault(t.owner[2][0], []).append(t)
+        out = []
+        for b, nodes in by_batch.items():
+            out.append(held[b].take(pa.array([t.owner[2][1] for t in nodes], pa.int64())))
+            for r, t in enumerate(nodes):
+                t.owner[2] = (len(out) - 1, r)
+        return out
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        trie, size, last = PatriciaTrie(), 0, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows: dict[int, list] = {}
-            for t in trie.terminals:
-                rows.setdefault(t.owner[2][0], []).append((t.owner[2][1], t.owner[1]))
-            for b, found in sorted(rows.items()):
-                found.sort()
-                batch = held[b]
-                out = batch.take(pa.array([r for r, _ in found], pa.int64()))
-                at = batch.schema.get_field_index("_n")
-                yield out.set_column(at, batch.schema.field(at),
-                                     pa.array([n for _, n in found], pa.int64()))
-
+        trie, weight, last = PatriciaTrie(), 0, None
         for whole in slices(stream):
             names = whole.schema.get_field_index
             ids, texts, keys, counts = (
                 whole.column(names(c)).to_pylist() for c in ("_id", "_text", "_key", "_n"))
             held.append(whole)
+            weight += whole.nbytes
             for i, text in enumerate(texts):
-                raw = text.encode("utf-8", "surrogatepass")
-                full = size > TRIE_BYTES and (not sorted_keys or keys[i] != last)
-                if full:
-                    yield from flush()
-                    held, trie, size = [whole], PatriciaTrie(), 0
-                trie.insert(raw, ids[i], counts[i], (len(held) - 1, i), largest)
-                size += len(raw)
+                if trie.size > TRIE_BYTES and (not sorted_keys or keys[i] != last):
+                    if sorted_keys:
+                        found, trie = [(t.owner[2], t.owner[1]) for t in trie.terminals], PatriciaTrie()
+                    else:
+                        found = _spilled(trie)
+                    yield from rows_of(held, found)
+                    held = [*kept(held, trie), whole]
+                    weight = sum(b.nbytes for b in held)
+                trie.insert(text.encode("utf-8", "surrogatepass"), ids[i], counts[i],
+                            (len(held) - 1, i), largest)
                 last = keys[i]
-        yield from flush()
+            if weight > 4 * TRIE_BYTES:
+                held = kept(held, trie)
+                weight = sum(b.nbytes for b in held)
+        yield from rows_of(held, [(t.owner[2], t.owner[1]) for t in trie.terminals])
 
     return run
 
 
+def _spilled(trie: PatriciaTrie) -> list[tuple]:
+    """``(place, count)`` of the owners that leave a trie, subtree by subtree, until half is free.
+    Texts that met a copy go back, if that leaves a quarter free."""
+    out, again, back = [], [], 0
+    while trie.size > TRIE_BYTES // 2:
+        for key, row_id, count, place, size in trie.cut():
+            if count > 1 and back + size <= TRIE_BYTES // 4:
+                again.append((key, row_id, count, place))
+                back += size
+            else:
+                out.append((place, count))
+    for key, row_id, count, place in again:
+        trie.insert(key, row_id, count, place, True)
+    return out
+
+
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            keep: str = "largest") -> DataFrame:
     """The row that stays of every group of equal texts, with all its columns and ``group_size``.

@@ -24,6 +24,65 @@ def test_trie_agrees_with_a_dictionary():
         assert trie.terminal(key).owner[:2] == [best, n]
 
 
+def test_subtrees_are_cut_whole_and_the_rest_goes_on():
+    rng = random.Random(2)
+    trie, want = exact_dedup.PatriciaTrie(), {}
+    for n in range(2000):
+        key = bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 12)))
+        trie.insert(key, n, 1, n, True)
+        want[key] = n
+        if n % 100 == 99:
+            before = len(trie.terminals)
+            cut = trie.cut()
+            assert cut and before == len(trie.terminals) + len(cut)
+            for found, row_id, *_ in cut:
+                assert want.pop(found) == row_id
+            assert trie.size == sum(map(len, want))
+    assert {bytes(k): v for k, v in want.items()} == {
+        k: trie.terminal(k).owner[0] for k in want}
+    while trie.terminals:
+        trie.cut()
+    assert trie.size == 0
+
+
+def _through(monkeypatch, rows, sorted_keys, trie_bytes, batch=7):
+    monkeypatch.setattr(exact_dedup, "TRIE_BYTES", trie_bytes)
+    batches = [pa.RecordBatch.from_pylist(
+        [dict(zip(("_id", "_text", "_key", "_n"), r)) for r in rows[k:k + batch]])
+        for k in range(0, len(rows), batch)]
+    return [r for b in exact_dedup._collapse(True, sorted_keys)(iter(batches)) for r in b.to_pylist()]
+
+
+def test_repeated_texts_stay_while_others_are_spilled(monkeypatch):
+    """A text between ever new ones is handed over far less often than it comes."""
+    rows = []
+    for i in range(600):
+        rows.append((2 * i, "the one that comes back", 5, 1))
+        rows.append((2 * i + 1, f"{i:04d} only once", i, 1))
+    out = _through(monkeypatch, rows, False, 400)
+    mine = [r for r in out if r["_text"] == "the one that comes back"]
+    assert sum(r["_n"] for r in mine) == 600 and max(r["_id"] for r in mine) == 1198
+    assert len(mine) < 20 and len(out) - len(mine) == 600
+
+
+def test_copies_of_one_key_hold_one_row(monkeypatch):
+    """Half of all rows are one long text from ever new tasks: what is held stays small."""
+    text = "long " * 200
+    rows = [(i, text, 1, 3) for i in range(4000)] + [(9000 + i, f"t{i}", 2 + i, 1) for i in range(50)]
+    most = 0
+    take = exact_dedup.PatriciaTrie.insert
+
+    def insert(self, key, row_id, count, place, largest):
+        nonlocal most
+        most = max(most, place[0])
+        return take(self, key, row_id, count, place, largest)
+
+    monkeypatch.setattr(exact_dedup.PatriciaTrie, "insert", insert)
+    out = _through(monkeypatch, rows, True, 5000)
+    assert sorted((r["_id"], r["_n"]) for r in out)[0] == (3999, 12000) and len(out) == 51
+    assert most < 10
+
+
 def expected(rows):
     groups = defaultdict(list)
     for i, text, *_ in rows:
