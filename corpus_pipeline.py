@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from recspark.llm import exact_dedup, mixing, near_dedup, packing, quality
 from recspark.llm.common import stored, table
@@ -29,9 +29,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 4096 tokens."""
-    pieces = packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces)
+    """Token pieces laid out in sequences of 4096 tokens, read back from them."""
+    return packing.packed_pieces(docs)
 
 
 STAGES = [
