@@ -36,14 +36,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a table below the shared folder and read it back.
+def stored(df: DataFrame, name: str = "step", codec: str | None = None) -> DataFrame:
+    """Write a table below the shared folder and read it back; ``codec`` names a Parquet compression.
 
     Lineage ends there, so a lost executor costs a read and not the work before it, and every later
     reader sees the same rows in the same files.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

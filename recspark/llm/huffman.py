@@ -139,8 +139,8 @@ def _encode_texts(vocabulary: str):
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for batch in slices(stream):
             ns, packed = [], []
-            for text in batch.column("text"):
-                ids = enc.encode(text.as_py()) + end
+            for ids in enc.encode_all(batch.column("text").to_pylist()):
+                ids += end
                 ns.append(len(ids) // 4)
                 packed.append(codec.compress(ids, asbytes=True))
             yield pa.RecordBatch.from_arrays(

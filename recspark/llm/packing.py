@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from . import tokens
-from .common import stored
+from .common import slices, stored
 from .huffman import END_ID
 
 CAPACITY = 4096
@@ -203,7 +203,7 @@ def _realise(plan: Plan, slots: list[int], copies: int, left: np.ndarray,
 # -- Spark -------------------------------------------------------------------------------------------
 
 
-def _cut(vocabulary: str, capacity: int, schema: pa.Schema):
+def _cut(vocabulary: str, capacity: int, schema: pa.Schema, width: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(vocabulary)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
@@ -213,38 +213,48 @@ def _cut(vocabulary: str, capacity: int, schema: pa.Schema):
                 [pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types, strict=True)],
                 schema=schema)
 
-        for batch in stream:
-            rows: list[tuple] = []
-            size = 0
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = enc.encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at:at + 4 * capacity]
-                    rows.append((doc.as_py(), k, at // 4, len(piece) // 4, piece))
+        rows: list[tuple] = []
+        size = 0
+        for batch in slices(stream):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(),
+                                enc.encode_all(batch.column("text").to_pylist()), strict=True):
+                ids += end
+                if width == 2:
+                    ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                for k, at in enumerate(range(0, len(ids), width * capacity)):
+                    piece = ids[at:at + width * capacity]
+                    rows.append((doc, k, at // width, len(piece) // width, piece))
                     size += len(piece)
                     if size > OUTPUT_BYTES:
                         yield made(rows)
                         rows, size = [], 0
-            if rows:
-                yield made(rows)
+        if rows:
+            yield made(rows)
 
     return run
 
 
-def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json",
-           capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY,
+           width: int = 4) -> DataFrame:
     """Token pieces of every text with the end id: ``doc_id, piece, start, length, ids``.
 
     Texts of more than ``capacity`` ids are cut into whole pieces and a last one; null texts are
-    empty and give one piece with the end id. ``ids`` are little-endian unsigned 32-bit numbers.
+    empty and give one piece with the end id. ``ids`` are little-endian unsigned numbers of ``width``
+    bytes: 4, or 2 where the vocabulary allows it (see :func:`narrow`).
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids", pa.binary())])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return texts.mapInArrow(_cut(vocabulary, capacity, schema),
+    return texts.mapInArrow(_cut(vocabulary, capacity, schema, width),
                             "doc_id long, piece int, start long, length long, ids binary")
 
 
+def narrow(vocabulary: str) -> int:
+    """Bytes that hold every id of a vocabulary: 2 or 4."""
+    size = tokens.encoder(vocabulary).tokenizer.get_vocab_size(with_added_tokens=True)
+    return 2 if max(size, END_ID + 1) <= 1 << 16 else 4
+
+
 def _ranked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add the task's number and each row's rank among the task's rows of its length."""
     part, seen = TaskContext.get().partitionId(), np.zeros(0, dtype=np.int64)
@@ -293,7 +303,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = rows.drop("sequence_id", "offset", "_part", "_rank")
     ranked = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()),
                            T.StructField("_rank", T.LongType())])
-    held = stored(rows.mapInArrow(_ranked, ranked), "pieces")
+    held = stored(rows.mapInArrow(_ranked, ranked), "pieces", "zstd")
     per_part = held.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(
         F.sum("n").alias("n")).collect()}
@@ -355,29 +365,37 @@ def packed_sequences(placed: DataFrame) -> DataFrame:
         "sequence_id", "offset").mapInArrow(_assembled, SEQUENCES)
 
 
-def _taken_apart(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
-        for r in batch.to_pylist():
-            raw, n = memoryview(r["ids"]), len(r["doc_ids"])
-            digests = [zlib.crc32(raw[4 * at:4 * (at + size)])
-                       for at, size in zip(r["offsets"], r["lengths"], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r["doc_ids"], pa.int64()), pa.array(r["pieces"], pa.int32()),
-                 pa.array(r["starts"], pa.int64()), pa.array(r["lengths"], pa.int64()),
-                 pa.array(digests, pa.int64()), pa.array([r["sequence_id"]] * n, pa.int64()),
-                 pa.array(r["offsets"], pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+def _taken_apart(width: int):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for r in batch.to_pylist():
+                raw = memoryview(np.frombuffer(r["ids"], f"<u{width}").astype("<u4")).cast("B")
+                n = len(r["doc_ids"])
+                digests = [zlib.crc32(raw[4 * at:4 * (at + size)])
+                           for at, size in zip(r["offsets"], r["lengths"], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r["doc_ids"], pa.int64()), pa.array(r["pieces"], pa.int32()),
+                     pa.array(r["starts"], pa.int64()), pa.array(r["lengths"], pa.int64()),
+                     pa.array(digests, pa.int64()), pa.array([r["sequence_id"]] * n, pa.int64()),
+                     pa.array(r["offsets"], pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return run
 
 
-def sequence_contents(sequences: DataFrame) -> DataFrame:
+def sequence_contents(sequences: DataFrame, width: int = 4) -> DataFrame:
     """What whole sequences hold, read back from their ids: ``doc_id, piece, start, length,
-    ids_crc32, sequence_id, offset`` of every piece, the digest taken at the piece's place."""
+    ids_crc32, sequence_id, offset`` of every piece. The digest is that of the ids at the piece's
+    place, as 32-bit numbers whatever the ``width`` they are kept in."""
     return sequences.mapInArrow(
-        _taken_apart, "doc_id long, piece int, start long, length long, ids_crc32 long, "
+        _taken_apart(width), "doc_id long, piece int, start long, length long, ids_crc32 long, "
         "sequence_id long, offset long")
 
 
 def packed_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json",
                   capacity: int = CAPACITY) -> DataFrame:
-    """Encode, pack and lay out every text; the contents of the sequences."""
-    return sequence_contents(packed_sequences(pack(pieces(docs, vocabulary, capacity), capacity)))
+    """Encode, pack and lay out every text; the contents of the sequences. Ids are kept as narrow as
+    the vocabulary allows, since they move twice."""
+    width = narrow(vocabulary)
+    placed = pack(pieces(docs, vocabulary, capacity, width), capacity)
+    return sequence_contents(packed_sequences(placed), width)

@@ -11,6 +11,8 @@ import json
 import re
 import sys
 from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import tokenizers
 
@@ -18,12 +20,14 @@ import tokenizers
 # bytes of each entry. A worker keeps two generations: words that a whole one did not meet are dropped.
 CACHE_BYTES = 64 << 20
 ENTRY_BYTES = 140
-# Unknown words that are encoded as one text.
+# Unknown words that are encoded as one text, and bytes of text that are looked up at once.
 ENCODE_WORDS = 256
+STEP_BYTES = 1 << 20
 
 # Lower-case Latin letters in UTF-8, then punctuation that no contraction or special token starts
 # with: two pieces that normalisation leaves alone.
 _SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
+_SPACE = re.compile(rb"[ \t-\r]")
 _MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 # Byte-level models write byte b of a non-ASCII letter as one character: itself, or 256 and up in order
 # for the bytes that print nothing.
@@ -76,6 +80,15 @@ def _lowers(spec: dict) -> bool:
         s.get("type") for s in steps} <= {"NFC", "Replace", "Lowercase"}
 
 
+def _parts(raw: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(raw):
+        end = _SPACE.search(raw, at + STEP_BYTES)
+        end = end.start() if end else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def _ids(values: list[int]) -> bytes:
     ids = array("I", values)
     if sys.byteorder == "big":
@@ -106,66 +119,87 @@ class TextEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return _ids(ids)
 
-    def _keep(self, word: bytes, ids: bytes) -> None:
-        self.cache[word] = ids
-        self.held += len(word) + len(ids) + ENTRY_BYTES
-
     def _turn(self) -> None:
         """Start a new generation when the present one is full; the one before is dropped."""
         if self.held > CACHE_BYTES:
             self.older, self.cache, self.held = self.cache, {}, 0
 
-    def _found(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the present generation does not hold."""
-        out, odd = {}, []
+    def _letters(self, raw: bytes) -> bytes:
+        """Ids of one piece that the cache does not hold, straight from the tokenizer's model."""
+        piece = raw.decode() if raw.isascii() else "".join(map(_LATIN.__getitem__, raw))
+        return _ids([t.id for t in self.pieces(piece)])
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Put words into the present generation that it does not hold."""
+        cache, older, letters = self.cache, self.older, self._letters
+        odd, size, before = [], 0, len(cache)
         for w in words:
-            ids = self.older.get(w)
+            ids = older.get(w)
             if ids is None:
                 m = _SIMPLE(w) if self.lower else None
-                if not m:
+                if m is None:
                     odd.append(w)
                     continue
-                letters, marks = m.groups()
-                ids = (self._piece(letters) if letters else b"") + (
-                    self._piece(marks) if marks else b"")
-            out[w] = ids
+                ids, n = b"", m.end(1)
+                for piece in (w,) if n == len(w) or not n else (w[:n], w[n:]):
+                    known = cache.get(piece) or older.get(piece)
+                    if known is None:
+                        known = letters(piece)
+                        cache[piece] = known
+                        size += len(piece) + len(known)
+                    ids += known
+            cache[w] = ids
+            size += len(w) + len(ids)
         for k in range(0, len(odd), ENCODE_WORDS):
             part = odd[k:k + ENCODE_WORDS]
             texts = [w.decode("utf-8", "replace") for w in part]
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             for w, e in zip(part, found, strict=True):
-                out[w] = _ids(e.ids)
-        for w, ids in out.items():
-            self._keep(w, ids)
-        return out
-
-    def _piece(self, raw: bytes) -> bytes:
-        """Ids of one piece, straight from the tokenizer's model."""
-        known = self.cache.get(raw)
-        if known is None:
-            known = self.older.get(raw)
-            if known is None:
-                piece = raw.decode() if raw.isascii() else "".join(map(_LATIN.__getitem__, raw))
-                known = _ids([t.id for t in self.pieces(piece)])
-            self._keep(raw, known)
-        return known
+                cache[w] = ids = _ids(e.ids)
+                size += len(w) + len(ids)
+        self.held += size + ENTRY_BYTES * (len(cache) - before)
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word:
-            return self._plain(text)
+    def _raw(self, text: str) -> bytes:
+        """Bytes of a text, A-Z lower-cased where that changes no id."""
         raw = text.encode("utf-8", "replace")
         if self.lower and not (b"\xcc" in raw and _MARK.search(text)) and (
                 text.isascii() or not _MARK.search(text)):
             low = raw.lower()
             # A special token spelt in capitals is ordinary text and must stay so.
             if not any(s in low and low.count(s) != raw.count(s) for s in self.special):
-                raw = low
-        words = raw.split()
-        found = list(map(self.cache.get, words))
-        if None in found:
-            new = self._found(list({w for w, f in zip(words, found, strict=True) if f is None}))
-            found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            self._turn()
-        return b"".join(found)
+                return low
+        return raw
+
+    def _encoded(self, parts: list[list[bytes]]) -> list[bytes]:
+        """Ids of lists of words."""
+        unknown = set(chain.from_iterable(parts)).difference(self.cache)
+        if unknown:
+            self._learn(unknown)
+        get = self.cache.__getitem__
+        out = [b"".join(map(get, words)) for words in parts]
+        self._turn()
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of some texts; a long text goes through in parts that end at white space."""
+        if not self.by_word:
+            return [self._plain(t) if t else b"" for t in texts]
+        out: list[bytes] = []
+        held: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            raw = self._raw(text) if text else b""
+            if len(raw) > STEP_BYTES:
+                out += self._encoded(held)
+                out.append(b"".join(self._encoded([part.split()])[0] for part in _parts(raw)))
+                held, size = [], 0
+                continue
+            held.append(raw.split())
+            size += len(raw)
+            if size > STEP_BYTES:
+                out += self._encoded(held)
+                held, size = [], 0
+        return out + self._encoded(held)
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]

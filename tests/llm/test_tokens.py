@@ -115,19 +115,42 @@ def test_pieces_and_packing(spark):
     assert packing.pack(packing.pieces(frame(spark, []))).collect() == []
 
 
+def test_texts_together_and_long_texts_in_parts(monkeypatch):
+    enc = tokens.TextEncoder(tokens.public_path(NAME))
+    texts = [r[1] for r in awkward()] + [None, "", "word " * 50, "x" * 300 + " y\u00a0z"]
+    monkeypatch.setattr(tokens, "STEP_BYTES", 40)
+    assert enc.encode_all(texts) == [enc._plain(t) if t else b"" for t in texts]
+    other = tokens.TextEncoder(tokens.public_path("byte_bpe_50k.json"))
+    assert other.encode_all(texts[-4:]) == [other._plain(t) if t else b"" for t in texts[-4:]]
+
+
+def test_narrow_ids_are_the_same_ids(spark):
+    rows = awkward()
+    assert packing.narrow(NAME) == 2
+    got = packing.packed_pieces(clashing(frame(spark, rows)), capacity=512).collect()
+    want = []
+    for r in rows:
+        ids = plain(r[1])
+        want += [(str(r[0]), k, at // 4, crc(ids[at:at + 2048]))
+                 for k, at in enumerate(range(0, len(ids), 2048))]
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["ids_crc32"]) for r in got
+                  ) == sorted(want)
+    assert packing.packed_pieces(frame(spark, [])).collect() == []
+
+
 def test_the_word_cache_keeps_what_is_in_use(monkeypatch):
     """Two small generations: ids stay those of whole texts, and frequent words are learned once."""
     monkeypatch.setattr(tokens, "CACHE_BYTES", 40_000)
     enc = tokens.TextEncoder(tokens.public_path("word_bpe_49k.json"))
     learned = []
-    find = enc._found
-    enc._found = lambda words: learned.extend(w for w in words if w not in enc.older) or find(words)
+    find = enc._learn
+    enc._learn = lambda words: learned.extend(w for w in words if w not in enc.older) or find(words)
     rng = np.random.default_rng(5)
     for k in range(120):
         rare = " ".join("".join(rng.choice(list("abcdefgß"), 9)) + "," for _ in range(30))
         text = f"the often Seen words, aren't {rare} Größe naïve (x) 12ab e\u0301"
         assert enc.encode(text) == enc._plain(text)
-    assert learned.count(b"often") == 1 and enc.held <= 41_000 + 140 * 100
+    assert learned.count(b"often") == 1 and enc.held <= 60_000
     assert len(enc.older) and len(learned) > 3000
 
 
