@@ -14,8 +14,9 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from recspark.functions.scores import hinge_loss, log_sigmoid_loss
-from recspark.metrics import beyond, cold_start, explanation, fairness, late_fusion, rating, topn
+from recspark.functions.scores import damped, dot, hinge_loss, log_sigmoid_loss
+from recspark.metrics import beyond, cold_start, explanation, fairness, late_fusion, list_audit, \
+    rating, topn
 from recspark.models import pairwise
 from recspark.models.hybrid import ContentHybrid
 from recspark.models.implicit_als import ImplicitALS
@@ -615,6 +616,16 @@ def q_text_similarity(spark, d):
     return _r(_text_scores(spark, d), "text_sim", digits=6)
 
 
+def q_encoded_similarity(spark, d):
+    """Similarity through the encoder hook, with counts of eight letters as the encoder."""
+    def letters(text: str):
+        return F.array(*[(F.length(text) - F.length(F.replace(F.col(text), F.lit(x), F.lit("")))).cast(
+            "double") for x in "aeinorst"])
+
+    model = textprofiles.DenseProfiles.fit(_reviews(spark, d), letters)
+    return _r(model.score(_review_pool(spark, d)), "text_sim", digits=6)
+
+
 def q_late_fusion(spark, d):
     fused = rerank.late_fusion(_review_pool(spark, d), _text_scores(spark, d), 0.7)
     return _r(fused, "fused", "cf_score", "text_sim", digits=6)
@@ -660,14 +671,16 @@ def q_dense_cosine(spark, d):
 
 
 def q_catalogue_top_n(spark, d):
-    """Exact Top-N over the embedding catalogue; a user has seen its two neighbours."""
+    """Exact Top-N over the embedding catalogue, in whole thousandths, so that scores are whole
+    numbers; a user has seen its two neighbours."""
     users, items = views.vectors(spark, d)
-    u = users.select(F.col("id").alias("user_id"), F.col("embedding").alias("features"))
-    i = items.select(F.col("id").alias("item_id"), F.col("embedding").alias("features"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("double"))
+    u = users.select(F.col("id").alias("user_id"), whole.alias("features"))
+    i = items.select(F.col("id").alias("item_id"), whole.alias("features"))
     seen = u.select("user_id", F.explode(F.array(
         F.col("user_id") - 1, F.col("user_id") + 1)).alias("item_id"))
     lists = rank_by_dot(u, i, u.select("user_id"), TOP_N, seen, None, "dot")
-    return _r(lists, "score", digits=6).select("user_id", "item_id", "rank", "score")
+    return lists.select("user_id", "item_id", "rank", F.col("score").cast("long").alias("score"))
 
 
 # -- negatives and reporting ----------------------------------------------------------------------------
@@ -771,35 +784,105 @@ def q_warp_top_n(spark, d):
     return pairwise.fit_warp(_train(spark, d)).rank(_users(spark, d), TOP_N)
 
 
-def _list_check(lists: DataFrame, seen: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """One row about Top-N lists of a factor model: users and rows, and how many rows break a rule
-    (rank that is not the next one, score above the one before, seen item, score that is not the
-    product of the factors)."""
-    w = W.partitionBy("user_id").orderBy("rank")
-    dot = F.aggregate(
-        F.zip_with("u", "i", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0),
-        lambda a, x: a + x)
-    rows = lists.withColumns({
-        "_place": F.row_number().over(w), "_before": F.lag("score").over(w)})
-    rows = rows.join(users.select("user_id", F.col("features").alias("u")), "user_id", "left").join(
-        items.select("item_id", F.col("features").alias("i")), "item_id", "left")
-    known = seen.select("user_id", "item_id", F.lit(1).alias("_seen")).distinct()
-    rows = rows.join(known, ["user_id", "item_id"], "left")
-    return rows.agg(
-        F.count_distinct("user_id").alias("users"),
-        F.count(F.lit(1)).alias("list_rows"),
-        F.count_if(F.col("rank") != F.col("_place")).alias("broken_ranks"),
-        F.count_if(F.col("score") > F.col("_before")).alias("broken_order"),
-        F.count("_seen").alias("seen_items"),
-        F.count_if(~F.coalesce(F.abs(dot - F.col("score")) < 1e-6, F.lit(False))).alias(
-            "broken_scores"),
-    )
+def _audit(spark, d, model, lists=None, items=None):
+    """Whether a model's lists are the best by its factors."""
+    return list_audit.audit_lists(
+        model.rank(_users(spark, d), TOP_N) if lists is None else lists, model.user_factors,
+        model.item_factors if items is None else items, _train(spark, d), TOP_N)
+
+
+def q_mf_check(spark, d):
+    """Lists rank by the damped product, so that is what they are held against."""
+    m = _mf(spark, d)
+    counts = stats.item_stats(_train(spark, d)).select("item_id", "n_ratings")
+    damp = damped(F.lit(1.0), F.col("n_ratings"))
+    lists = m.rank(_users(spark, d), TOP_N).join(counts, "item_id").withColumn(
+        "score", damped("score", "n_ratings"))
+    items = m.item_factors.join(counts, "item_id").select(
+        "item_id", F.transform("features", lambda x: x * damp).alias("features"))
+    return _audit(spark, d, m, lists, items)
+
+
+def q_mf_prediction_check(spark, d):
+    """Predictions of the held-out pairs, of unknown users and of unknown items, and how many differ
+    from the clipped sum of mean, biases and product, or from the mean."""
+    m = _mf(spark, d)
+    pairs_ = _test(spark, d).select("user_id", "item_id").distinct()
+    strange = pairs_.select((-1 - F.col("user_id")).alias("user_id"), "item_id").unionByName(
+        pairs_.select("user_id", (-1 - F.col("item_id")).alias("item_id")))
+    asked = pairs_.unionByName(strange).distinct()
+    mean = m.mean.first()[0]
+    known = asked.join(m.user_bias, "user_id").join(m.item_bias, "item_id").join(
+        m.user_factors.withColumnRenamed("features", "u"), "user_id").join(
+        m.item_factors.withColumnRenamed("features", "i"), "item_id")
+    raw = F.lit(mean) + F.col("user_bias") + F.col("item_bias") + F.aggregate(
+        F.zip_with("u", "i", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
+        lambda t, x: t + x)
+    want = known.select("user_id", "item_id", F.when(raw < 1, 1.0).when(raw > 5, 5.0).otherwise(
+        raw).alias("want"))
+    got = m.predict(asked).join(want, ["user_id", "item_id"], "left")
+    off = F.abs(F.col("prediction") - F.coalesce("want", F.lit(mean))) > 1e-9
+    return got.agg(F.count(F.lit(1)).alias("pairs"), F.count("want").alias("known_pairs"),
+                   F.count_if(F.coalesce(off, F.lit(True))).alias("wrong"))
+
+
+def _support_items(spark, d):
+    return supports.history_supports(_recs(spark, d), _similarity(spark, d)).select(
+        "user_id", F.col("support_item").alias("item_id")).distinct()
 
 
-def q_implicit_als_check(spark, d):
+def q_support_removal_check(spark, d):
+    """Every support item of every user taken away by itself, and all of a user's together: removals
+    asked, and how many differ from factors solved anew (for the first item, and for all)."""
     m = _als(spark, d)
-    return _list_check(m.rank(_users(spark, d), TOP_N), _train(spark, d), m.user_factors,
-                       m.item_factors)
+    mine = durable(_support_items(spark, d).join(
+        m.positives().select("user_id", "item_id"), ["user_id", "item_id"], "left_semi"))
+    single = mine.select("user_id", F.col("item_id").alias("drop_id"), "item_id")
+    every = mine.select("user_id", F.lit(-1).cast("long").alias("drop_id"), "item_id")
+    got = durable(m.fold_out(single.unionByName(every)))
+    first = mine.groupBy("user_id").agg(F.min("item_id").alias("item_id"))
+
+    def anew(drops):
+        left = topk.without(m.positives(), drops).join(
+            drops.select("user_id").distinct(), "user_id", "left_semi")
+        return m.fold_in(left).withColumnRenamed("features", "want")
+
+    want = anew(first).join(first, "user_id").select(
+        "user_id", F.col("item_id").alias("drop_id"), "want").unionByName(
+        anew(mine).select("user_id", F.lit(-1).cast("long").alias("drop_id"), "want"))
+    gap = F.aggregate(F.zip_with("features", "want", lambda x, y: F.abs(x - y)),
+                      F.lit(0.0).cast("float"), lambda t, x: F.greatest(t, x))
+    both = want.join(got, ["user_id", "drop_id"], "left")
+    asked = mine.agg(F.count(F.lit(1)).alias("removals"), F.count_distinct("user_id").alias("users"))
+    return asked.join(both.agg(F.count_if(~F.coalesce(gap < 1e-4, F.lit(False))).alias("differ")),
+                      F.lit(True))
+
+
+def q_score_sources(spark, d):
+    """List rows by what their scores say they are."""
+    users = _users(spark, d)
+    ranked = [Popularity.fit(_train(spark, d)), _mf(spark, d), _als(spark, d)]
+    rows = [m.rank(users, TOP_N).select("score_source") for m in ranked]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("score_source").agg(
+        F.count(F.lit(1)).alias("list_rows"))
+
+
+def q_damped_popularity(spark, d):
+    """Sums of ratings over the logarithm of their number."""
+    item = stats.item_stats(_train(spark, d))
+    return item.select("item_id", F.round(damped(
+        F.col("avg_rating") * F.col("n_ratings"), F.col("n_ratings")), 9).alias("damped"))
+
+
+def q_trial_weights(spark, d):
+    """Rank weights of the trials for the catalogue of the train rows."""
+    n_items = _train(spark, d).select("item_id").distinct().count()
+    rows = [(t, w) for t, w in enumerate(pairwise.harmonic_weights(n_items, 20)) if t]
+    return _r(spark.createDataFrame(rows, "trial int, weight double"), "weight", digits=9)
+
+
+def q_implicit_als_check(spark, d):
+    return _audit(spark, d, _als(spark, d))
 
 
 def q_implicit_als_fold_in(spark, d):
@@ -814,17 +897,47 @@ def q_implicit_als_fold_in(spark, d):
     return both.agg(F.count(F.lit(1)).alias("users"), F.count_if(gap > 0.001).alias("users_off"))
 
 
-def _pairwise_check(spark, d, model):
-    return _list_check(model.rank(_users(spark, d), TOP_N), _train(spark, d), model.user_factors,
-                       model.item_factors)
-
-
 def q_implicit_bpr_check(spark, d):
-    return _pairwise_check(spark, d, pairwise.fit_implicit_bpr(_train(spark, d)))
+    return _audit(spark, d, pairwise.fit_implicit_bpr(_train(spark, d)))
 
 
 def q_warp_check(spark, d):
-    return _pairwise_check(spark, d, pairwise.fit_warp(_train(spark, d)))
+    return _audit(spark, d, pairwise.fit_warp(_train(spark, d)))
+
+
+def q_warp_violator_check(spark, d):
+    """The same with the first violating draw as the negative."""
+    return _audit(spark, d, pairwise.fit_warp(_train(spark, d), trial_rule="first_violator"))
+
+
+def q_bpr_check(spark, d):
+    return _audit(spark, d, pairwise.fit_bpr(_train(spark, d)))
+
+
+def q_training_gain(spark, d):
+    """Whether training at the default settings puts well rated items above drawn unseen ones more
+    often than the start vectors do: users asked, and models without a gain."""
+    train = _train(spark, d)
+    good = train.filter(F.col("rating") >= THRESHOLD).select("user_id", "item_id").distinct()
+    index = _item_index(spark, d)
+    n = index.count()
+    drawn = good.withColumn("item_idx", negatives.draw(
+        F.lit(n), "gain", F.col("user_id"), F.col("item_id"))).join(
+        index.withColumnRenamed("item_id", "other"), "item_idx")
+    drawn = durable(topk.without(
+        drawn.select("user_id", F.col("other").alias("item_id"), F.col("item_id").alias("good")),
+        train))
+
+    def order(model):
+        u = model.user_factors.withColumnRenamed("features", "u")
+        i = model.item_factors
+        both = drawn.join(u, "user_id").join(i.withColumnRenamed("features", "b"), "item_id").join(
+            i.select(F.col("item_id").alias("good"), F.col("features").alias("a")), "good")
+        return both.agg(F.avg((dot("u", "a") > dot("u", "b")).cast("int"))).first()[0]
+
+    fits = (pairwise.fit_bpr, pairwise.fit_implicit_bpr, pairwise.fit_warp)
+    worse = sum(order(fit(train)) < order(fit(train, n_epochs=0)) + 0.02 for fit in fits)
+    return good.agg(F.count_distinct("user_id").alias("users"), F.lit(worse).alias("models_without"))
 
 
 def q_experiment_users(spark, d):

@@ -2,21 +2,26 @@
 
 Two kinds of users are told apart. A *light* user has at most ``MAX_LIGHT_HISTORY`` items: joining
 the history with itself on such users makes at most that many rows per rating. A *heavy* user (at
-most ratings / limit of them) never has its items paired with one another. It is a member of each
-of its items' ``heavy`` set instead, and two items share exactly the intersection of their sets.
+most ratings / limit of them) never has its items paired with one another. Heavy users are numbered and
+dealt to buckets of ``BUCKET_USERS`` instead, every item has one bitmap per bucket with a rater, and
+two items share as many of them as their bitmaps have common bits. No row grows with the number of
+heavy users of an item.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..skew import oversized_keys
+from ..skew import durable, global_position, oversized_keys
 
 # Lists cut at this number plus a few stay below 1000, up to which the planner cuts them before the
 # shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 MAX_LIGHT_HISTORY = 950
+# A bitmap is an array of whole 64-bit words.
+BUCKET_WORDS = 8
+BUCKET_USERS = 64 * BUCKET_WORDS
 
 
 @dataclass
@@ -28,11 +33,34 @@ class History:
     heavy: DataFrame | None
     limit: int
 
-    def heavy_sets(self) -> DataFrame:
-        """Heavy users of each item. The arrays are as short as heavy users are few."""
+    _bitmaps: DataFrame | None = None
+
+    def heavy_bitmaps(self) -> DataFrame:
+        """``item_id, bucket, bits``: the heavy users of each item, a row of fixed size per bucket."""
+        if self._bitmaps is None:
+            numbers = global_position(self.heavy.select("user_id").distinct(), [F.col("user_id")],
+                                      "_n", start=0)
+            at = F.pmod(F.col("_n"), F.lit(BUCKET_USERS))
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+            words = [F.bit_or(F.when(F.floor(at / 64) == k, bit).otherwise(F.lit(0).cast("long")))
+                     for k in range(BUCKET_WORDS)]
+            self._bitmaps = durable(
+                self.heavy.join(numbers, "user_id")
+                .withColumn("bucket", F.floor(F.col("_n") / BUCKET_USERS))
+                .groupBy("item_id", "bucket").agg(F.array(*words).alias("bits")))
+        return self._bitmaps
+
+    def heavy_classes(self) -> DataFrame:
+        """``item_id, cls``: items with the same heavy users have the same class, a digest of the set."""
+        member = [F.bit_xor(F.xxhash64(F.lit(k), "user_id")) for k in (1, 2)]
         return self.heavy.groupBy("item_id").agg(
-            F.array_sort(F.collect_set("user_id")).alias("heavy")
-        )
+            F.concat_ws(":", *[m.cast("string") for m in member],
+                        F.count(F.lit(1)).cast("string")).alias("cls"))
+
+    def class_users(self, classes: DataFrame) -> DataFrame:
+        """``cls, u``: the heavy users of every class, read from one of its items."""
+        one = classes.groupBy("cls").agg(F.min("item_id").alias("item_id"))
+        return one.join(self.heavy, "item_id").select("cls", F.col("user_id").alias("u"))
 
 
 def split_history(hist: DataFrame, limit: int = MAX_LIGHT_HISTORY) -> History:
@@ -47,24 +75,24 @@ def split_history(hist: DataFrame, limit: int = MAX_LIGHT_HISTORY) -> History:
     )
 
 
+def _common_bits(a: str, b: str) -> Column:
+    words = [F.bit_count(F.col(a)[k].bitwiseAND(F.col(b)[k])) for k in range(BUCKET_WORDS)]
+    return sum(words[1:], words[0])
+
+
 def add_heavy_overlap(pairs: DataFrame, h: History, a: str, b: str, overlap: str) -> DataFrame:
-    """Add the users in the heavy sets of both items to ``overlap``."""
+    """Add the heavy users that rated both items to ``overlap``."""
     if h.heavy is None:
         return pairs
-    sets = h.heavy_sets()
-    left = sets.select(F.col("item_id").alias(a), F.col("heavy").alias("_ha"))
-    right = sets.select(F.col("item_id").alias(b), F.col("heavy").alias("_hb"))
-    shared = F.coalesce(F.size(F.array_intersect("_ha", "_hb")), F.lit(0))
-    return (
-        pairs.join(left, a, "left")
-        .join(right, b, "left")
-        .withColumn(
-            overlap,
-            F.col(overlap)
-            + F.when(F.col("_ha").isNull() | F.col("_hb").isNull(), 0).otherwise(shared),
-        )
-        .drop("_ha", "_hb")
+    bits = h.heavy_bitmaps()
+    left = bits.select(F.col("item_id").alias(a), "bucket", F.col("bits").alias("_ba"))
+    right = bits.select(F.col("item_id").alias(b), "bucket", F.col("bits").alias("_bb"))
+    shared = (
+        pairs.select(a, b).distinct().join(left, a).join(right, [b, "bucket"])
+        .groupBy(a, b).agg(F.sum(_common_bits("_ba", "_bb")).alias("_more"))
     )
+    return pairs.join(shared, [a, b], "left").withColumn(
+        overlap, F.col(overlap) + F.coalesce("_more", F.lit(0).cast("long"))).drop("_more")
 
 
 def light_pairs(light: DataFrame) -> DataFrame:
@@ -82,12 +110,10 @@ def light_pairs(light: DataFrame) -> DataFrame:
 def heavy_only_pairs(h: History, known: DataFrame) -> DataFrame:
     """Pairs that only heavy users share: one row per pair of the answer, however many share it.
 
-    Items with the same heavy set form a class; two classes that intersect pair all their items.
+    Items with the same heavy users form a class; two classes that intersect pair all their items.
     """
-    sets = h.heavy_sets()
-    members = sets.select("item_id", F.col("heavy").alias("cls"))
-    classes = members.select("cls").distinct()
-    by_user = classes.select("cls", F.explode("cls").alias("u"))
+    members = h.heavy_classes()
+    by_user = h.class_users(members)
     linked = (
         by_user.alias("x")
         .join(by_user.alias("y"), F.col("x.u") == F.col("y.u"))

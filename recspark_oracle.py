@@ -548,12 +548,18 @@ nov AS (SELECT user_id, avg(-log2(greatest(popularity, 1e-12))) AS novelty,
 
 
 
+def _letters(text: str) -> str:
+    """Counts of eight letters: a text encoder simple enough for SQL."""
+    return f"[length({text}) - length(replace({text}, x, ''))::DOUBLE for x in string_split('aeinorst', '')]"
+
+
 def _check(only: str) -> str:
     """Top-10 lists of a factor model: all users and items of the train rows it knows, no faults."""
     known = f"SELECT * FROM train {only}"
     return f""", known AS ({known}), items AS (SELECT DISTINCT item_id FROM known)
         SELECT count(*) AS users, CAST(sum(least(10, (SELECT count(*) FROM items) - n)) AS BIGINT)
-          AS list_rows, 0 AS broken_ranks, 0 AS broken_order, 0 AS seen_items, 0 AS broken_scores
+          AS list_rows, 0 AS broken_ranks, 0 AS broken_order, 0 AS seen_items, 0 AS broken_scores,
+          0 AS left_out
         FROM (SELECT user_id, (SELECT count(*) FROM hist h JOIN items USING (item_id)
                                WHERE h.user_id = s.user_id) AS n
               FROM sizes s WHERE user_id IN (SELECT user_id FROM known))"""
@@ -821,6 +827,12 @@ ORACLE_SQL: dict[str, str] = {
     "tfidf_item_weights": f"WITH {_TFIDF} SELECT item_id, term, round(weight, 6) AS weight FROM iw",
     "text_similarity": f"""WITH {_TFIDF}, {_review_pool('rv')}, {_text_scores('rpool')}
         SELECT user_id, item_id, round(text_sim, 6) AS text_sim FROM tsim""",
+    "encoded_similarity": f"""WITH i AS (WITH {_DOCS} SELECT item_id, {_letters('doc')} AS v FROM idocs),
+        u AS (WITH {_DOCS.replace('1, 400', '1, 500')} SELECT user_id, {_letters('doc')} AS w
+              FROM udocs),
+        p AS (WITH {_DOCS}, {_review_pool('rv')} SELECT user_id, item_id FROM rpool)
+        SELECT user_id, item_id, round(coalesce(list_cosine_similarity(w, v), 0), 6) AS text_sim
+        FROM p LEFT JOIN u USING (user_id) LEFT JOIN i USING (item_id)""",
     "late_fusion": f"""WITH {_TFIDF}, {_review_pool('rv')}, {_text_scores('rpool')},
         {_fused('rpool', '0.7')} SELECT user_id, item_id, rank, round(fused, 6) AS fused,
         round(cf_score, 6) AS cf_score, round(text_sim, 6) AS text_sim, pool_rank FROM fused""",
@@ -846,17 +858,45 @@ ORACLE_SQL: dict[str, str] = {
         WHERE u.vec_id % 2 = 0 AND i.vec_id % 2 = 1)
         SELECT user_id, item_id, round(greatest(0.0, least(1.0, list_dot_product(a, b)
         / sqrt(list_dot_product(a, a) * list_dot_product(b, b)))), 6) AS text_sim FROM p""",
-    "catalogue_top_n": """WITH s AS (SELECT u.vec_id AS user_id, i.vec_id AS item_id,
-        round(list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS score
-        FROM embeddings u JOIN embeddings i
+    "catalogue_top_n": """WITH w AS (SELECT vec_id,
+          [floor(x::DOUBLE * 1000) for x in embedding] AS v FROM embeddings),
+        s AS (SELECT u.vec_id AS user_id, i.vec_id AS item_id,
+          list_dot_product(u.v, i.v)::BIGINT AS score
+        FROM w u JOIN w i
           ON u.vec_id % 2 = 0 AND i.vec_id % 2 = 1 AND abs(u.vec_id - i.vec_id) <> 1)
-        SELECT user_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER
+        SELECT user_id, item_id, rank, score FROM (SELECT *, row_number() OVER
           (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 10""",
     "implicit_als_check": f"WITH {_STATS} {_check('WHERE rating >= 4')}",
     "implicit_als_fold_in": f"""WITH {_STATS} SELECT count(DISTINCT user_id) AS users,
         0 AS users_off FROM train WHERE rating >= 4""",
     "implicit_bpr_check": f"WITH {_STATS} {_check('')}",
     "warp_check": f"WITH {_STATS} {_check('')}",
+    "warp_violator_check": f"WITH {_STATS} {_check('')}",
+    "bpr_check": f"WITH {_STATS} {_check('')}",
+    "mf_check": f"WITH {_STATS} {_check('')}",
+    "training_gain": f"""WITH {_STATS} SELECT count(DISTINCT user_id) AS users, 0 AS models_without
+        FROM train WHERE rating >= 4""",
+    "mf_prediction_check": f"""WITH {_STATS}, p AS (SELECT DISTINCT user_id, item_id FROM test)
+        SELECT 3 * count(*) AS pairs, count(*) FILTER (user_id IN (SELECT user_id FROM train)
+          AND item_id IN (SELECT item_id FROM train)) AS known_pairs, 0 AS wrong FROM p""",
+    "support_removal_check": f"""WITH {_recs(_SUPPORTS, 'recs')}, r AS (
+          SELECT DISTINCT user_id, support_item FROM hsup)
+        SELECT count(*) AS removals, count(DISTINCT user_id) AS users, 0 AS differ FROM r""",
+    "score_sources": f"""WITH {_STATS}, whole AS (SELECT sum(least(10,
+          (SELECT count(*) FROM istats) - n_train)) AS n FROM sizes),
+        liked AS (SELECT DISTINCT user_id, item_id FROM train WHERE rating >= 4),
+        known AS (SELECT DISTINCT item_id FROM liked),
+        als AS (SELECT sum(least(10, (SELECT count(*) FROM known) - n)) AS n FROM (
+          SELECT user_id, count(*) FILTER (item_id IN (SELECT item_id FROM known)) AS n
+          FROM hist WHERE user_id IN (SELECT user_id FROM liked) GROUP BY 1))
+        SELECT 'item_counts' AS score_source, n::BIGINT AS list_rows FROM whole
+        UNION ALL SELECT 'latent_dot', n::BIGINT FROM whole
+        UNION ALL SELECT 'model_recommend', n::BIGINT FROM als""",
+    "damped_popularity": f"""WITH {_STATS} SELECT item_id,
+        round(avg_rating * n_ratings / log2(2.0 + n_ratings), 9) AS damped FROM istats""",
+    "trial_weights": f"""WITH {_STATS}, n AS (SELECT count(*) AS n FROM istats)
+        SELECT t::INTEGER AS trial, round(sum(1.0::DOUBLE / j), 9) AS weight
+        FROM n, range(1, 21) r(t), unnest(range(1, n // t + 1)) u(j) GROUP BY t""",
     "experiment_users": f"""WITH {_STATS} SELECT count(DISTINCT user_id) AS users FROM test
         JOIN sizes USING (user_id) WHERE rating >= 4 AND n_train >= 5""",
     "sample_negatives_uniform": f"""WITH {_UNIFORM} SELECT user_id, item_id, neg_item_id, trial

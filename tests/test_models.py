@@ -93,6 +93,38 @@ def test_fold_in_gives_back_trained_factors_and_adds_up_in_parts(planted):
     assert np.mean(cos) > 0.98
 
 
+def test_removed_items_by_correction_are_as_solved_anew(spark, planted, monkeypatch):
+    """Many drop sets per user, sums of parts, sets that leave nothing and items never rated."""
+    import recspark.models.implicit_als as module
+
+    monkeypatch.setattr(module, "PART_ROWS", 5)
+    train, _ = planted
+    model = ImplicitALS.fit(train, 8, 5, 0.05)
+    mine = {}
+    for r in model.positives().collect():
+        mine.setdefault(r["user_id"], []).append(r["item_id"])
+    rng = np.random.default_rng(0)
+    sets = {}
+    for u in sorted(mine)[:12]:
+        for k in range(6):
+            sets[u, k] = sorted(rng.choice(mine[u], min(len(mine[u]) - 1, 1 + k), False).tolist())
+        sets[u, 6] = mine[u]
+        sets[u, 7] = [999]
+        sets[u, 8] = mine[u][:1] + [999]
+    rows = [(u, k, i) for (u, k), items in sets.items() for i in items] + [(-5, 0, 3)]
+    drops = spark.createDataFrame(rows, "user_id long, drop_id long, item_id long")
+    got = {(r["user_id"], r["drop_id"]): np.array(r["features"]) for r in
+           model.fold_out(drops).collect()}
+    positives = model.positives()
+    for k in range(9):
+        gone = drops.filter(F.col("drop_id") == k).select("user_id", "item_id")
+        left = positives.join(gone.select("user_id").distinct(), "user_id", "left_semi").join(
+            gone, ["user_id", "item_id"], "left_anti")
+        want = {r["user_id"]: np.array(r["features"]) for r in model.fold_in(left).collect()}
+        assert set(want) == {u for u, j in got if j == k}
+        assert all(np.allclose(got[u, k], want[u], atol=1e-4) for u in want)
+
+
 class _Text:
     def score(self, pool):
         return pool.select("user_id", "item_id", (F.col("item_id") % 10 / 10).alias("text_sim"))

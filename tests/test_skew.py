@@ -160,3 +160,27 @@ def test_a_grown_index_keeps_its_numbers(spark, skewed):
     empty = index.filter("item_idx < 0")
     assert dict(table(split.grow_index(empty, first, "item_id", "item_idx"))) == old
     assert [f.dataType.typeName() for f in whole.schema.fields if f.name == "item_idx"] == ["long"]
+
+
+def test_an_item_of_all_busy_users_makes_no_long_row(spark):
+    """Two items rated by 1,300 busy users each, 900 of them common: three rows of one size each."""
+    rows = [(u, i) for u in range(1300) for i in (1, 100 + u % 7, 200 + u % 5)]
+    rows += [(u, 2) for u in range(400, 1700)] + [(u, 300 + u % 3) for u in range(1300, 1700)]
+    hist = spark.createDataFrame(rows, "user_id long, item_id long")
+    h = pairs.split_history(hist, 1)
+    bits = h.heavy_bitmaps()
+    assert bits.filter("item_id = 1").count() == 3
+    assert {r[0] for r in bits.select(F.size("bits")).collect()} == {pairs.BUCKET_WORDS}
+    asked = spark.createDataFrame([(1, 2), (1, 300), (2, 100)], "item_a long, item_b long")
+    want = {}
+    raters = {}
+    for u, i in rows:
+        raters.setdefault(i, set()).add(u)
+    for a, b in ((1, 2), (1, 300), (2, 100)):
+        want[a, b] = len(raters[a] & raters[b])
+    got = {(r["item_a"], r["item_b"]): r["n_users"] for r in pairs.pair_overlap(asked, h).collect()}
+    assert got == want
+    whole = {(r["item_a"], r["item_b"]): r["n_users"]
+             for r in pairs.item_pair_overlap(hist, 1).collect()}
+    assert whole == {(a, b): n for a in raters for b in raters
+                     if a < b and (n := len(raters[a] & raters[b]))}
