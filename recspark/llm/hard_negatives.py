@@ -268,12 +268,21 @@ def _wants(row: dict) -> list[list[tuple[int, int, int]]]:
 FOUND = "chunk long, at int, tag int, vec_id long, score long"
 
 
+# Chunks whose best scores a task remembers.
+RECENT = 64
+
+
 def _search(k: int, same_label: bool):
     """Best ``k`` rows of a segment for every window of every anchor of a chunk. Bounds pick the rows
-    that are scored in integers; windows are then applied to the scores."""
+    that are scored in integers; windows are then applied to the scores. What a task found for a chunk
+    in earlier segments raises the lower ends of its windows to the ``k``-th best score so far."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[int, dict] = {}
         for batch in stream:
             for r in batch.to_pylist():
+                if r["chunk"] not in recent and len(recent) >= RECENT:
+                    del recent[next(iter(recent))]
+                best = recent.setdefault(r["chunk"], {})
                 width = max(r["q_dims"], r["dims"])
                 q = Rows.read({c[2:]: x for c, x in r.items() if c.startswith("q_")}, width)
                 rows = Rows.read(r, width)
@@ -283,15 +292,19 @@ def _search(k: int, same_label: bool):
                     fit = (rows.labels == q.labels[i]) == same_label
                     fit &= rows.ids != q.ids[i]
                     open_ = np.zeros(len(rows.ids), dtype=bool)
-                    for _, a, b in wants:
+                    held = [(tag, max(a, _floor(best, i, tag, k)), b) for tag, a, b in wants]
+                    for _, a, b in held:
                         open_ |= (high[i] >= a) & (low[i] <= b)
                     some = np.flatnonzero(fit & open_)
                     if not len(some):
                         continue
                     s = q.scores(rows, i, some)
-                    for tag, a, b in wants:
+                    for tag, a, b in held:
                         inside = np.flatnonzero((s >= a) & (s <= b))
                         top = inside[_best(s[inside], rows.ids[some[inside]], k)]
+                        if len(top):
+                            both = np.append(best.get((i, tag), np.zeros(0, s.dtype)), s[top])
+                            best[i, tag] = np.sort(both)[-k:]
                         out += [(r["chunk"], i, tag, int(rows.ids[some[t]]), int(s[t]))
                                 for t in top]
                 yield _batch(out, {"chunk": pa.int64(), "at": pa.int32(), "tag": pa.int32(),
@@ -300,6 +313,12 @@ def _search(k: int, same_label: bool):
     return run
 
 
+def _floor(best: dict, i: int, tag: int, k: int) -> int:
+    """The ``k``-th best score so far, ``LEAST`` before there are as many."""
+    found = best.get((i, tag), ())
+    return int(found[0]) if len(found) == k else LEAST
+
+
 def _found(chunks: DataFrame, wants: DataFrame, index: DataFrame, n: int, k: int,
            same_label: bool) -> DataFrame:
     """``chunk, at, tag, vec_id, score, rank``: the best ``k`` per wanted window, over all

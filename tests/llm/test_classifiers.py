@@ -87,6 +87,39 @@ def test_scores_do_not_depend_on_batches():
         assert np.allclose(model.score(some), one, atol=1e-6)
 
 
+def plain_features(raw):
+    """Buckets of the words and character n-grams of one text, byte by byte."""
+    from recspark.llm.words import BASE
+
+    mask = (1 << 64) - 1
+
+    def spread(h):
+        for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * times & mask
+        return h ^ h >> 33
+
+    out = [spread(sum((b + 1) * pow(BASE, k, 1 << 64) for k, b in enumerate(w)) + len(w) & mask) >> 48
+           for w in raw.split()]
+    for n in quality.GRAMS:
+        for at in range(max(len(raw) + 2 - n, 0)):
+            h = 0
+            for b in (raw + b" ")[at:at + n]:
+                h = h * BASE + b + 1 & mask
+            out.append((spread(h) + n & mask) >> 48)
+    return out
+
+
+def test_quality_scores_one_feature_at_a_time():
+    """Averages of learned weights over words and n-grams, by a plain hash."""
+    rows, labels = corpus(200, 3)
+    model = quality.train([r[1] for r in rows], np.array([x[1] for x in labels]))
+    for text in [r[1] for r in rows[:15]] + ["", None, "a", "ab c", "Größe\tnaïve \n", "x" * 50]:
+        found = plain_features((text or "").encode())
+        margin = sum(float(model.weights[f]) for f in found) / max(len(found), 1) + model.bias
+        want = 1 / (1 + np.exp(-(model.slope * margin + model.offset)))
+        assert model.score([text])[0] == pytest.approx(want, abs=1e-6)
+
+
 def test_pooling_looks_at_every_window():
     rng = np.random.default_rng(0)
     rows, labels = corpus(60, 2)
