@@ -64,11 +64,11 @@ def cuts(rows, dims, first, shards, whole, out):
 
 def test_every_cut_is_a_weighted_median_along_the_widest_dimension(spark):
     """Sources that share a long beginning are told apart; sizes and ids decide elsewhere."""
-    rows = [(i * i % 7919, f"t{i} " + "y" * (i * 37 % 400), ("en", "de", "fr", None)[i % 4],
+    rows = [(i * i % 7919, f"t{i} " + "y" * (i * 37 % 400), ("en", "de", "fr", "es")[i % 4],
              f"https://common-crawl/{i % 13:02d}", 0) for i in range(1500)]
     placed = sharding.split_tree(sharding._metadata(frame(spark, rows)), 11).collect()
     dims = sharding.DIMENSIONS
-    at = [([r[d] or 0.0 for d in dims], r["size"], r["shard"]) for r in placed]
+    at = [([r[d] for d in dims], r["size"], r["shard"]) for r in placed]
     assert len({r["d_source"] for r in placed}) == 13
     whole = [max(a[0][d] for a in at) - min(a[0][d] for a in at) for d in range(len(dims))]
     found = []
