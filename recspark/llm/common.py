@@ -37,13 +37,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str = "step", codec: str | None = None) -> DataFrame:
-    """Write a table below the shared folder and read it back; ``codec`` names a Parquet compression.
+    """Write a table below the shared folder and read it back; ``codec`` names a Parquet compression, and
+    wide rows then go out in small row groups, which bounds what a task's writer holds.
 
     Lineage ends there, so a lost executor costs a read and not the work before it, and every later
     reader sees the same rows in the same files.
     """
     path = fresh_path(df.sparkSession, name)
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    writer = df.write
+    if codec:
+        writer = writer.option("compression", codec).option("parquet.block.size", 16 << 20)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

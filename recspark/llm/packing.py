@@ -215,7 +215,7 @@ def _cut(vocabulary: str, capacity: int, schema: pa.Schema, width: int):
 
         rows: list[tuple] = []
         size = 0
-        for batch in slices(stream):
+        for batch in slices(stream, 200):
             for doc, ids in zip(batch.column("doc_id").to_pylist(),
                                 enc.encode_all(batch.column("text").to_pylist()), strict=True):
                 ids += end
@@ -340,7 +340,7 @@ def _assembled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(list(c), t) for c, t in zip(zip(*done), _SEQUENCES.types, strict=True)],
             schema=_SEQUENCES)
 
-    for batch in stream:
+    for batch in slices(stream):
         for row in zip(*[batch.column(c).to_pylist() for c in (
                 "sequence_id", "doc_id", "piece", "start", "length", "offset", "ids")], strict=True):
             if held and row[0] != held[0][0]:
@@ -360,14 +360,21 @@ def _assembled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def packed_sequences(placed: DataFrame) -> DataFrame:
     """Whole sequences: ``sequence_id, length, doc_ids, pieces, starts, lengths, offsets, ids`` with
     the pieces in their places and the ids end to end. A sequence holds at most ``capacity`` pieces."""
+    return _by_sequence(placed).mapInArrow(_assembled, SEQUENCES)
+
+
+def _by_sequence(placed: DataFrame) -> DataFrame:
     tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(tasks, "sequence_id").sortWithinPartitions(
-        "sequence_id", "offset").mapInArrow(_assembled, SEQUENCES)
+    return placed.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+
+
+CONTENTS = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, "
+            "offset long")
 
 
 def _taken_apart(width: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in slices(stream, 50):
             for r in batch.to_pylist():
                 raw = memoryview(np.frombuffer(r["ids"], f"<u{width}").astype("<u4")).cast("B")
                 n = len(r["doc_ids"])
@@ -387,15 +394,15 @@ def sequence_contents(sequences: DataFrame, width: int = 4) -> DataFrame:
     """What whole sequences hold, read back from their ids: ``doc_id, piece, start, length,
     ids_crc32, sequence_id, offset`` of every piece. The digest is that of the ids at the piece's
     place, as 32-bit numbers whatever the ``width`` they are kept in."""
-    return sequences.mapInArrow(
-        _taken_apart(width), "doc_id long, piece int, start long, length long, ids_crc32 long, "
-        "sequence_id long, offset long")
+    return sequences.mapInArrow(_taken_apart(width), CONTENTS)
 
 
 def packed_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json",
                   capacity: int = CAPACITY) -> DataFrame:
     """Encode, pack and lay out every text; the contents of the sequences. Ids are kept as narrow as
-    the vocabulary allows, since they move twice."""
+    the vocabulary allows, since they move twice. A task lays out a sequence and reads it back before
+    it goes on to the next."""
     width = narrow(vocabulary)
     placed = pack(pieces(docs, vocabulary, capacity, width), capacity)
-    return sequence_contents(packed_sequences(placed), width)
+    read = _taken_apart(width)
+    return _by_sequence(placed).mapInArrow(lambda stream: read(_assembled(stream)), CONTENTS)
