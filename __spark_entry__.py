@@ -772,16 +772,20 @@ def q_implicit_als_ablation(spark, d):
     return _als(spark, d).rank_without(_users(spark, d), drops, TOP_N)
 
 
+def _pairwise(spark, d, fit: str):
+    return _once(spark, d, fit, lambda: getattr(pairwise, fit)(_train(spark, d)))
+
+
 def q_bpr_top_n(spark, d):
-    return pairwise.fit_bpr(_train(spark, d)).rank(_users(spark, d), TOP_N)
+    return _pairwise(spark, d, "fit_bpr").rank(_users(spark, d), TOP_N)
 
 
 def q_implicit_bpr_top_n(spark, d):
-    return pairwise.fit_implicit_bpr(_train(spark, d)).rank(_users(spark, d), TOP_N)
+    return _pairwise(spark, d, "fit_implicit_bpr").rank(_users(spark, d), TOP_N)
 
 
 def q_warp_top_n(spark, d):
-    return pairwise.fit_warp(_train(spark, d)).rank(_users(spark, d), TOP_N)
+    return _pairwise(spark, d, "fit_warp").rank(_users(spark, d), TOP_N)
 
 
 def _audit(spark, d, model, lists=None, items=None):
@@ -898,11 +902,11 @@ def q_implicit_als_fold_in(spark, d):
 
 
 def q_implicit_bpr_check(spark, d):
-    return _audit(spark, d, pairwise.fit_implicit_bpr(_train(spark, d)))
+    return _audit(spark, d, _pairwise(spark, d, "fit_implicit_bpr"))
 
 
 def q_warp_check(spark, d):
-    return _audit(spark, d, pairwise.fit_warp(_train(spark, d)))
+    return _audit(spark, d, _pairwise(spark, d, "fit_warp"))
 
 
 def q_warp_violator_check(spark, d):
@@ -911,7 +915,7 @@ def q_warp_violator_check(spark, d):
 
 
 def q_bpr_check(spark, d):
-    return _audit(spark, d, pairwise.fit_bpr(_train(spark, d)))
+    return _audit(spark, d, _pairwise(spark, d, "fit_bpr"))
 
 
 def q_training_gain(spark, d):
@@ -935,8 +939,9 @@ def q_training_gain(spark, d):
             i.select(F.col("item_id").alias("good"), F.col("features").alias("a")), "good")
         return both.agg(F.avg((dot("u", "a") > dot("u", "b")).cast("int"))).first()[0]
 
-    fits = (pairwise.fit_bpr, pairwise.fit_implicit_bpr, pairwise.fit_warp)
-    worse = sum(order(fit(train)) < order(fit(train, n_epochs=0)) + 0.02 for fit in fits)
+    fits = ("fit_bpr", "fit_implicit_bpr", "fit_warp")
+    worse = sum(order(_pairwise(spark, d, fit)) < 0.02 + order(getattr(pairwise, fit)(train, n_epochs=0))
+                for fit in fits)
     return good.agg(F.count_distinct("user_id").alias("users"), F.lit(worse).alias("models_without"))
 
 

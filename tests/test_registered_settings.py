@@ -26,7 +26,7 @@ def test_models_are_fitted_at_default_settings(monkeypatch, name, owner, fit):
     monkeypatch.setattr(owner, fit, lambda *a, **k: calls.append((a, k)) or _Model())
     monkeypatch.setattr(entry, "_train", lambda spark, d: "train")
     monkeypatch.setattr(entry, "_users", lambda spark, d: "users")
-    monkeypatch.setattr(entry, "_list_check", lambda *a: None)
+    monkeypatch.setattr(entry, "_audit", lambda *a: None)
     monkeypatch.setattr(entry, "_once", lambda spark, d, key, build: build())
     getattr(entry, f"q_{name}")(None, "none")
     assert calls == [(("train",), {})]
