@@ -18,11 +18,11 @@ import tokenizers
 
 # Bytes of words and ids that a generation of a worker's cache may hold, by ``ENTRY_BYTES`` above the
 # bytes of each entry. A worker keeps two generations: words that a whole one did not meet are dropped.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 ENTRY_BYTES = 180
 # Unknown words that are encoded as one text, and bytes of text that are looked up at once.
 ENCODE_WORDS = 256
-STEP_BYTES = 1 << 20
+STEP_BYTES = 2 << 20
 
 # Lower-case Latin letters in UTF-8, then punctuation that no contraction or special token starts
 # with: two pieces that normalisation leaves alone.
