@@ -18,8 +18,8 @@ import tokenizers
 
 # Bytes of words and ids that a generation of a worker's cache may hold, by ``ENTRY_BYTES`` above the
 # bytes of each entry. A worker keeps two generations: words that a whole one did not meet are dropped.
-CACHE_BYTES = 24 << 20
-ENTRY_BYTES = 180
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 140
 # Unknown words that are encoded as one text, and bytes of text that are looked up at once.
 ENCODE_WORDS = 256
 STEP_BYTES = 2 << 20
