@@ -7,7 +7,7 @@ from tables import table
 from recspark.metrics import beyond
 from recspark.models.item_cf import ItemCF
 from recspark.operators import candidates, negatives, pairs, split, stats, supports
-from recspark.skew import global_position, ranked_in_group
+from recspark.skew import durable, global_position, ranked_in_group
 
 LIMIT = 8  # three users of the fixture are heavy
 
@@ -30,6 +30,24 @@ def test_global_position(spark):
     assert table(got, "x", "pos") == sorted(((299 - p + 1, p) for p in range(1, 301)), key=str)
 
 
+def test_stored_tables_that_compress_well_are_not_broadcast(spark, capsys):
+    """Their files stay below the threshold of broadcasts however many rows they hold."""
+    lists = spark.range(40_000).select(
+        (F.col("id") % 4).alias("user_id"), (F.col("id") % 10).alias("item_id"))
+    items = spark.range(20_000_000).select(F.col("id").alias("item_id"))
+
+    def plan(stored):
+        joined = items.join(stored.filter(F.col("user_id") > 1).select("item_id"), "item_id")
+        capsys.readouterr()
+        joined.explain()
+        return capsys.readouterr().out
+
+    assert "BroadcastHashJoin" in plan(durable(lists))
+    assert "BroadcastHashJoin" not in plan(durable(lists, max_broadcast_rows=39_999))
+    assert table(durable(lists, 39_999), "user_id", "item_id") == table(
+        durable(lists), "user_id", "item_id")
+
+
 def test_split_of_oversized_users(skewed):
     keyed = skewed.withColumn("row_key", split.split_key(1, "row_key"))
     a = split.split_per_user(keyed, 0.8)
