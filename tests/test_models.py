@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tables import table
 from recspark.metrics import rating, topn
+from recspark.models import latent
 from recspark.models.hybrid import ContentHybrid
 from recspark.models.implicit_als import ImplicitALS
 from recspark.models.mf import MatrixFactorization
@@ -46,6 +47,21 @@ def test_mf_beats_item_means(planted):
     assert got["RMSE"] < 0.9 * base["RMSE"]
 
 
+def test_als_keeps_the_shuffle_files_of_one_iteration(planted, monkeypatch):
+    made = []
+
+    class Noted(latent.ALS):
+        def __init__(self, **kwargs):
+            super().__init__(**kwargs)
+            made.append(self)
+
+    monkeypatch.setattr(latent, "ALS", Noted)
+    MatrixFactorization.fit(planted[0], 4, 0.1, 3)
+    ImplicitALS.fit(planted[0], 4, 3)
+    assert [als.getCheckpointInterval() for als in made] == [1, 1]
+    assert planted[0].sparkSession.sparkContext.getCheckpointDir()
+
+
 def test_mf_candidates_match_catalogue_when_they_cover_it(planted):
     train, _ = planted
     model = MatrixFactorization.fit(train, 4, 0.1, 2)
