@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 from tables import table
 from recspark.metrics import beyond
 from recspark.models.item_cf import ItemCF
-from recspark.operators import candidates, negatives, pairs, split, stats, supports
+from recspark.operators import candidates, explain, negatives, pairs, split, stats, supports, topk
 from recspark.skew import durable, global_position, ranked_in_group
 
 LIMIT = 8  # three users of the fixture are heavy
@@ -48,6 +48,21 @@ def test_stored_tables_that_compress_well_are_not_broadcast(spark, capsys):
         durable(lists), "user_id", "item_id")
 
 
+def test_sorts_of_lists_are_not_merged_by_compressed_size(spark):
+    lists = spark.range(6000).select(
+        F.floor(F.col("id") / 3).alias("user_id"), (F.col("id") % 3).alias("item_id"),
+        (F.col("id") % 3 + 1).alias("rank"), F.lit(1.0).alias("score"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    following = explain.with_next(lists)
+    assert following.rdd.getNumPartitions() == tasks
+    assert {r["next_item"] for r in following.filter("rank = 1").collect()} == {1}
+    free = topk.first_free_positions(
+        lists.select("user_id").distinct().withColumn("need", F.lit(2)),
+        lists.select("user_id", F.col("rank").alias("pos")).filter("pos < 3"), "need")
+    assert free.rdd.getNumPartitions() == tasks
+    assert table(free.select("pos", "rank").distinct(), "pos", "rank") == [(3, 1), (4, 2)]
+
+
 def test_split_of_oversized_users(skewed):
     keyed = skewed.withColumn("row_key", split.split_key(1, "row_key"))
     a = split.split_per_user(keyed, 0.8)
