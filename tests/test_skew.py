@@ -48,6 +48,14 @@ def test_stored_tables_that_compress_well_are_not_broadcast(spark, capsys):
         durable(lists), "user_id", "item_id")
 
 
+def test_positions_of_a_large_table_are_not_broadcast(spark, capsys):
+    df = spark.range(300).select("id")
+    placed = global_position(df, [F.col("id")], "pos", limit=10)
+    capsys.readouterr()
+    spark.range(20_000_000).join(placed, "id").explain()
+    assert "SortMergeJoin" in capsys.readouterr().out
+
+
 def test_sorts_of_lists_are_not_merged_by_compressed_size(spark):
     lists = spark.range(6000).select(
         F.floor(F.col("id") / 3).alias("user_id"), (F.col("id") % 3).alias("item_id"),
