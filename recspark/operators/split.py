@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..skew import MAX_GROUP_ROWS, durable, global_position, ranked_in_group
 
@@ -31,6 +31,7 @@ def split_per_user(
         rank_col="_rank",
         count_col="_n",
         limit=max_group_rows,
+        digests=(key,) if df.schema[key].dataType == T.StringType() else (),
     )
     cut = F.floor(F.col("_n") * F.lit(float(train_ratio)))
     return ranked.withColumn(
