@@ -11,14 +11,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import held_out, slices
+from .common import held_out, slices, stored
 
 PER_CLASS = 2_000
 SAMPLE_CHARS = 20_000
 
 
+def learnable(labels: DataFrame, target: str) -> DataFrame:
+    """``doc_id, label`` outside the held-out fold; an id that repeats counts once (largest label)."""
+    return labels.select(F.col("doc_id"), F.col(f"`{target}`").cast("int").alias("label")).filter(
+        F.col("label").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(
+        F.max("label").alias("label"))
+
+
+def text_key() -> Column:
+    """The digest that distinct texts are told apart and ordered by."""
+    return F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("|sample")))
+
+
+def distinct_texts(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
+    """``key, label, doc_id, chars`` of every distinct text that can be learned from, stored: the row
+    with the smallest id stands for its copies, a text under both labels is in both classes."""
+    chars = F.length(F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", text_key().alias("key"), chars.cast("long").alias("chars"))
+    return stored(keyed.join(learnable(labels, target), "doc_id").groupBy("key", "label").agg(
+        F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars")), "texts")
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int = PER_CLASS,
                     sample_chars: int = SAMPLE_CHARS, lang: bool = False):
     """``text, label[, lang]`` of the sample and the share of label 1 among all learnable rows.
@@ -27,12 +48,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     document are not learned from. A text that appears under both labels is left to both classes.
     Ids and digests are joined and ordered, texts are read for the chosen ids only.
     """
-    known = labels.select(F.col("doc_id"), F.col(f"`{target}`").cast("int").alias("label")).filter(
-        F.col("label").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(
-        F.max("label").alias("label"))
+    known = learnable(labels, target)
     share = known.agg(F.avg("label").alias("p")).first()["p"]
     text = F.coalesce("text", F.lit(""))
-    key = F.md5(F.concat(text, F.lit("|sample")))
+    key = text_key()
     fits = docs.filter(F.length(text) <= sample_chars)
     keyed = fits.select("doc_id", key.alias("key")).join(known, "doc_id")
     chosen = {}
@@ -60,14 +79,17 @@ def log_odds(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def fit_offset(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over raw scores (Newton steps, slightly damped)."""
+def fit_offset(z: np.ndarray, y: np.ndarray, steps: int = 100,
+               counts: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over raw scores (Newton steps, slightly damped); a score
+    may stand for several, ``counts`` of them."""
     z = np.asarray(z, dtype=np.float64)
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = sigmoid(a * z + b)
-        w = p * (1 - p) + 1e-9
-        g = np.array([np.sum((p - y) * z) + 1e-2 * (a - 1), np.sum(p - y) + 1e-2 * b])
+        w = (p * (1 - p) + 1e-9) * counts
+        miss = (p - y) * counts
+        g = np.array([np.sum(miss * z) + 1e-2 * (a - 1), np.sum(miss) + 1e-2 * b])
         h = np.array([[np.sum(w * z * z) + 1e-2, np.sum(w * z)],
                       [np.sum(w * z), np.sum(w) + 1e-2]])
         step = np.linalg.solve(h, g)
